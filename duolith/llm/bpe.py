@@ -16,15 +16,12 @@ import base64
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from duolith.llm.common import slices
+from duolith.llm.common import map_texts
 
 #: Entries a worker remembers; later ones are computed each time.
 REMEMBERED = 250_000
@@ -172,22 +169,14 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, keep_ids: bool
     further columns of the input are not read.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(texts: list[str]) -> dict[str, list]:
         enc = encoder(path, pattern)
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            for a, b in slices(texts):
-                ids = [enc.encode(t) for t in texts[a:b]]
-                out = {
-                    "doc_id": pdf["doc_id"].iloc[a:b].to_numpy(),
-                    "n_tokens": [len(i) // 4 for i in ids],
-                    "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids],
-                    "decoded_sha256": [hashlib.sha256(enc.decode(i)).hexdigest() for i in ids],
-                }
-                if keep_ids:
-                    out["ids"] = [list(array("I", i)) for i in ids]
-                yield pd.DataFrame(out)
-
-    kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>" * keep_ids
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
+        ids = [enc.encode(t) for t in texts]
+        out = {
+            "n_tokens": [len(i) // 4 for i in ids],
+            "ids_sha256": [hashlib.sha256(i).hexdigest() for i in ids],
+            "decoded_sha256": [hashlib.sha256(enc.decode(i)).hexdigest() for i in ids],
+        }
+        return out | {"ids": [array("I", i).tolist() for i in ids]} if keep_ids else out
+
+    return map_texts(docs, make, "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>" * keep_ids)

@@ -6,8 +6,13 @@ import os
 import tempfile
 import uuid
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,3 +65,26 @@ def slices(texts: list, most_chars: int = 1 << 20):
         held += len(t or "")
     if at < len(texts):
         yield at, len(texts)
+
+
+def map_texts(df: DataFrame, make: Callable[[list[str]], dict[str, list]], schema: str, *, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Runs a Python step over whole texts, a bounded slice at a time.
+
+    make gets a list of texts (null: empty) and returns columns; where it returns
+    "_row", a row belongs to the text of that index, else there is a row for each
+    text. The key passes through as it is. Other columns are not read.
+    """
+    want = StructType.fromDDL(f"{schema}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = to_arrow_schema(want)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in slices(texts):
+                made, keys = make(texts[a:b]), batch.column(0).slice(a, b - a)
+                if "_row" in made:
+                    keys = keys.take(pa.array(made["_row"], pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, *(pa.array(made[f.name], f.type) for f in types)], names=[key, *types.names])
+
+    kind = dict(df.dtypes)[key]
+    return df.select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, {schema}")

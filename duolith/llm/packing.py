@@ -15,12 +15,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duolith.llm.common import slices, staged
+from duolith.llm.common import map_texts, staged
 
 #: How a byte-level file without a pattern of its own splits text.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -125,24 +125,16 @@ def encoding(path: str) -> tiktoken.Encoding:
 def pieces_of(docs: DataFrame, tokenizer_path: str, window: int, end_id: int) -> DataFrame:
     """Tokens of each document, cut into full windows and a rest: doc_id, start, length, ids_crc32, doc_tokens."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(texts: list[str]) -> dict[str, list]:
         end, encode = np.array([end_id], dtype="<u4").tobytes(), encoding(tokenizer_path).encode_to_numpy
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            ids = pdf["doc_id"].to_numpy()
-            for a, b in slices(texts):
-                rows = []
-                for doc, text in zip(ids[a:b], texts[a:b], strict=True):
-                    raw = encode(text).tobytes() + end
-                    n = len(raw) // 4
-                    for s in range(0, n, window):
-                        rows.append((doc, s, min(window, n - s), zlib.crc32(raw[4 * s : 4 * (s + window)]), n))
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        rows = []
+        for i, text in enumerate(texts):
+            raw = encode(text).tobytes() + end
+            n = len(raw) // 4
+            rows += [(i, s, min(window, n - s), zlib.crc32(raw[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
+        return dict(zip(("_row", "start", "length", "ids_crc32", "doc_tokens"), zip(*rows, strict=True), strict=True))
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(
-        run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-    )
+    return map_texts(docs, make, "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, window: int = 2048, end_id: int = 1) -> DataFrame:
@@ -168,16 +160,17 @@ def pack(docs: DataFrame, tokenizer_path: str, *, window: int = 2048, end_id: in
     plan = plan_windows(counts, window)
     plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))] if len(plan) else plan
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = np.int64(1) << 40
         keys = plan[:, 0] * wide + plan[:, 1]
-        for pdf in batches:
-            length, rank = (pdf.pop(c).to_numpy(np.int64) if c == "_rank" else pdf[c].to_numpy(np.int64) for c in ("length", "_rank"))
-            row = plan[np.searchsorted(keys, length * wide + rank, side="right") - 1] if len(pdf) else plan[:0]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            length, rank = (batch.column(c).to_numpy() for c in ("length", "_rank"))
+            row = plan[np.searchsorted(keys, length * wide + rank, side="right") - 1]
             along = rank - row[:, 1]
-            pdf["sequence_id"] = row[:, 3] + along // np.maximum(row[:, 2], 1)
-            pdf["offset"] = row[:, 4] + along % np.maximum(row[:, 2], 1) * length
-            yield pdf
+            told = [row[:, 3] + along // row[:, 2], row[:, 4] + along % row[:, 2] * length]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *map(pa.array, told)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return ranked.mapInPandas(place, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(place, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duolith.llm import bpe, packing
+from duolith.llm import bpe, fingerprint, packing
 from duolith.llm.common import table
 
 
@@ -17,5 +17,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op3_packing": op3_packing, "op9_bpe": op9_bpe}
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_packing": op3_packing, "op9_bpe": op9_bpe, "op10_fingerprint": op10_fingerprint}
 ORACLE_SQL: dict[str, str] = {}
