@@ -67,6 +67,33 @@ def slices(texts: list, most_chars: int = 1 << 20):
         yield at, len(texts)
 
 
+#: Bits of the filter below.
+FILTER_BITS = 20
+
+
+def membership(wanted: DataFrame) -> Callable[[Column], Column]:
+    """A test of hashes against the only column (bigint) of wanted: true for all of them, and for a share of the others.
+
+    The filter has 2**FILTER_BITS bits however many values there are, and goes into
+    the plan as a constant. It spares rows a shuffle before a join that decides; the
+    more values there are, the fewer rows it spares.
+    """
+    (name,) = wanted.columns
+    bit = F.col(name).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = wanted.groupBy(F.shiftright(bit, 5).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(31)).cast("int"))).alias("b"))
+    held = ["0"] * (1 << FILTER_BITS - 5)
+    for r in words.collect():  # at most 2**(FILTER_BITS - 5) rows
+        held[r["w"]] = str(r["b"])
+    table_ = F.split(F.lit(",".join(held)), ",").cast("array<bigint>")
+
+    def test(h: Column) -> Column:
+        at = h.bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+        word = F.get(table_, F.shiftright(at, 5).cast("int"))
+        return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(31)).cast("int"))) != 0
+
+    return test
+
+
 def map_texts(df: DataFrame, make: Callable[[list[str]], dict[str, list]], schema: str, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Runs a Python step over whole texts, a bounded slice at a time.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duolith.llm import bpe, chat, fingerprint, html_text, langid, media, packing, quality
+from duolith.llm import bpe, chat, fingerprint, html_text, langid, linededup, media, packing, quality
 from duolith.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts look like control marks."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -44,5 +48,5 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_packing, op4_media, op5_language, op6_html, op8_chat, op9_bpe, op10_fingerprint)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_packing, op4_media, op5_language, op6_html, op7_lines, op8_chat, op9_bpe, op10_fingerprint)}
 ORACLE_SQL: dict[str, str] = {}
