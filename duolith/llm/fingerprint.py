@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duolith.llm.common import digest_keys, staged
+from duolith.llm.common import digest_keys, membership, staged
 
 #: Rows that a bucket of neighbouring ids should hold, and the most buckets.
 BUCKET_ROWS, MOST_BUCKETS = 2000, 8192
@@ -80,9 +80,8 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     rows = staged(digested(docs, F.col("text"), "h").drop("text"), "digests")
-    flagged = rows.join(shared(rows), ["h1", "h2"], "left_semi").select(F.col("doc_id").alias("_id")).distinct()
-    held = docs.join(flagged, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    out = settled(rows, clashes(formed(held, F.col("text"))), "fingerprint", "h")
+    held = formed(docs, F.col("text")).where(membership(shared(rows).select("h1"))(F.col("h1")))
+    out = settled(rows, clashes(held), "fingerprint", "h")
     sizes = out.groupBy("fingerprint").agg(F.count("*").alias("group_rows"))
     return out.join(sizes, "fingerprint").select("doc_id", "fingerprint", "group_rows")
 
@@ -139,14 +138,16 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     rows = staged(following.withColumn("n_chars", F.length("text").cast("bigint")).drop("text", "next_text", "_edited"), "digests")
 
     stacked = rows.select(F.explode(F.array(*[F.struct(F.col(f"{h}1").alias("h1"), F.col(f"{h}2").alias("h2")) for h in "he"])).alias("d")).select("d.*")
-    twice = shared(stacked).toDF("_k1", "_k2")
-    flagged = lambda h: rows.join(twice, (F.col(f"{h}1") == F.col("_k1")) & (F.col(f"{h}2") == F.col("_k2")), "left_semi")
+    twice = staged(shared(stacked).toDF("_k1", "_k2"), "shared")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    plain = texts.join(flagged("h").select(F.col("doc_id").alias("_id")).distinct(), same("doc_id", "_id"), "left_semi")
-    after = texts.select(F.col("doc_id").alias("_then"), F.col("text").alias("_following"))
-    altered = texts.join(flagged("e").select(F.col("doc_id").alias("_id"), "next_id").distinct(), same("doc_id", "_id")).join(after, same("next_id", "_then"))
-    forms = formed(plain, F.col("text")).unionByName(formed(altered, edited(F.col("text"), F.col("_following"))))
+    plain = formed(texts, F.col("text")).where(membership(twice.select("_k1"))(F.col("h1")))
+    altered_ids = rows.join(twice, (F.col("e1") == F.col("_k1")) & (F.col("e2") == F.col("_k2")), "left_semi").select(F.col("doc_id").alias("_id"), "next_id").distinct()
+    needed = membership(altered_ids.select(F.explode(F.array(F.xxhash64("_id"), F.xxhash64("next_id"))).alias("h")))
+    some = texts.where(needed(F.xxhash64("doc_id")))
+    after = some.select(F.col("doc_id").alias("_then"), F.col("text").alias("_following"))
+    altered = some.join(altered_ids, same("doc_id", "_id")).join(after, same("next_id", "_then"))
+    forms = plain.unionByName(formed(altered, edited(F.col("text"), F.col("_following"))))
     odd = clashes(forms)
     for name, h in (("fingerprint", "h"), ("edited_fingerprint", "e"), ("_next_fingerprint", "f")):
         rows = settled(rows, odd, name, h)
