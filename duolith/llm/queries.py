@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duolith.llm import bpe, chat, fingerprint, html_text, langid, linededup, media, packing, quality
+from duolith.llm import bpe, chat, fingerprint, html_text, langid, linededup, media, omh, packing, quality
 from duolith.llm.common import table
 
 
+def op1_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,5 +52,5 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_packing, op4_media, op5_language, op6_html, op7_lines, op8_chat, op9_bpe, op10_fingerprint)}
+QUERIES = {f.__name__: f for f in (op1_near, op2_quality, op3_packing, op4_media, op5_language, op6_html, op7_lines, op8_chat, op9_bpe, op10_fingerprint)}
 ORACLE_SQL: dict[str, str] = {}
