@@ -19,8 +19,18 @@ from duolith.operators.corpus import measured
 KEPT = ("idx", "han", "words", "loose", "numbers")
 
 
+def filled(pdf: pd.DataFrame, *columns: str) -> pd.DataFrame:
+    """A cogroup's missing side comes without columns."""
+    return pdf if len(pdf.columns) else pd.DataFrame({c: [] for c in columns})
+
+
+def fresh(df: DataFrame) -> DataFrame:
+    """df under new attribute ids: both sides of a cogroup may come from one table."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def side_of(pdf: pd.DataFrame, unit: str = "han") -> K.Side:
-    pdf = pdf.sort_values("idx")
+    pdf = filled(pdf, *KEPT).sort_values("idx")
     numbers = [frozenset(x) for x in pdf["numbers"]]
     tokens = [list(x) for x in pdf["tokens"]] if "tokens" in pdf else []
     grams = [frozenset(x) for x in pdf["grams"]] if "grams" in pdf else []
@@ -48,11 +58,11 @@ def align(src: DataFrame, tgt: DataFrame, key: str = "doc_id", *, unit: str = "h
         if repair and len(s) and len(t):
             links, _ = K.fix_skew(links, s, t, k or K.ratio_of(s, t))
         at = [p.src for p in links], [p.tgt for p in links]
-        name = (a[key] if len(a) else b[key]).iloc[0]
+        name = ids[0]
         return pd.DataFrame({key: name, "pair_idx": np.arange(len(links), dtype=np.int32), "src": at[0], "tgt": at[1], "r": [float(p.r) for p in links], "c": [float(p.c) for p in links]})
 
     one, two = (_kept(x, key).where(F.col(key).isNotNull()) for x in (src, tgt))
-    return one.groupBy(key).cogroup(two.groupBy(key)).applyInPandas(run, f"{key} {kind}, pair_idx int, src array<int>, tgt array<int>, r double, c double")
+    return one.groupBy(key).cogroup(fresh(two).groupBy(key)).applyInPandas(run, f"{key} {kind}, pair_idx int, src array<int>, tgt array<int>, r double, c double")
 
 
 def probe_votes(src: DataFrame, tgt: DataFrame, key: str = "doc_id", *, unit: str = "han", k: float | None = None) -> DataFrame:
@@ -61,11 +71,11 @@ def probe_votes(src: DataFrame, tgt: DataFrame, key: str = "doc_id", *, unit: st
 
     def run(ids, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         found, votes = K.probe(side_of(a, unit), side_of(b, unit), k)
-        rows = [(b[key].iloc[0], j, *v, j in found) for j, v in sorted(votes.items())]
+        rows = [(ids[0], j, *v, j in found) for j, v in sorted(votes.items())]
         return pd.DataFrame(rows, columns=[key, "idx", "alone", "paired", "surplus"])
 
     one, two = (_kept(x, key).where(F.col(key).isNotNull()) for x in (src, tgt))
-    return one.groupBy(key).cogroup(two.groupBy(key)).applyInPandas(run, f"{key} {kind}, idx int, alone int, paired int, surplus boolean")
+    return one.groupBy(key).cogroup(fresh(two).groupBy(key)).applyInPandas(run, f"{key} {kind}, idx int, alone int, paired int, surplus boolean")
 
 
 def match_documents(src: DataFrame, tgt: DataFrame, key: str) -> DataFrame:
@@ -73,14 +83,14 @@ def match_documents(src: DataFrame, tgt: DataFrame, key: str) -> DataFrame:
     kind = dict(src.dtypes)[key]
 
     def run(ids, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("doc_ord"), b.sort_values("doc_ord")
+        a, b = (filled(x, key, "doc_ord", "mass").sort_values("doc_ord") for x in (a, b))
         found = K.match_sequences(a["mass"].clip(lower=1.0).tolist(), b["mass"].clip(lower=1.0).tolist())
         x, y = a["doc_ord"].tolist(), b["doc_ord"].tolist()
-        name = (a[key] if len(a) else b[key]).iloc[0]
+        name = ids[0]
         rows = [(name, None if i is None else x[i], None if j is None else y[j]) for i, j in found]
         return pd.DataFrame(rows, columns=[key, "src_ord", "tgt_ord"]).astype({"src_ord": "Int64", "tgt_ord": "Int64"})
 
-    return src.groupBy(key).cogroup(tgt.groupBy(key)).applyInPandas(run, f"{key} {kind}, src_ord bigint, tgt_ord bigint")
+    return src.groupBy(key).cogroup(fresh(tgt).groupBy(key)).applyInPandas(run, f"{key} {kind}, src_ord bigint, tgt_ord bigint")
 
 
 def match_sections(src: DataFrame, tgt: DataFrame, key: str, *, unit: str = "han", band: int = 2) -> DataFrame:
@@ -88,17 +98,17 @@ def match_sections(src: DataFrame, tgt: DataFrame, key: str, *, unit: str = "han
     kind = dict(src.dtypes)[key]
 
     def sections(pdf: pd.DataFrame) -> tuple[list, list[K.Side]]:
-        groups = [(s, side_of(g, unit)) for s, g in pdf.groupby("sec", sort=True)]
+        groups = [(s, side_of(g, unit)) for s, g in filled(pdf, key, "sec", *KEPT).groupby("sec", sort=True)]
         return [s for s, _ in groups], [x for _, x in groups]
 
     def run(ids, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         (x, s), (y, t) = sections(a), sections(b)
         found = K.align_sections(s, t, band=band, k=None if unit == "han" else 1.25)
-        name = (a[key] if len(a) else b[key]).iloc[0]
+        name = ids[0]
         return pd.DataFrame([(name, [int(x[i]) for i in p], [int(y[j]) for j in q]) for p, q in found], columns=[key, "src_secs", "tgt_secs"])
 
     cols = [key, "sec", *KEPT]
-    return measured(src).select(*cols).groupBy(key).cogroup(measured(tgt).select(*cols).groupBy(key)).applyInPandas(run, f"{key} {kind}, src_secs array<int>, tgt_secs array<int>")
+    return measured(src).select(*cols).groupBy(key).cogroup(fresh(measured(tgt).select(*cols)).groupBy(key)).applyInPandas(run, f"{key} {kind}, src_secs array<int>, tgt_secs array<int>")
 
 
 def increasing_pairs(pairs: DataFrame, key: str) -> DataFrame:

@@ -65,7 +65,7 @@ def candidate_tokens(chars_src: Column, chars_tgt: Column, paras: Column) -> dic
 
 def sliding_rate(events: DataFrame, by: list[str], ts: str, seconds: int = 60, most: int = 20) -> DataFrame:
     """Events in the window that ends at each one, and whether there are more than allowed."""
-    at = F.unix_micros(F.col(ts))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
     w = Window.partitionBy(*by).orderBy(at).rangeBetween(-seconds * 1_000_000 + 1, 0)
     return events.withColumn("in_window", F.count("*").over(w)).withColumn("over", F.col("in_window") > most)
 

@@ -11,6 +11,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from duolith.functions import markup
 from duolith.functions import text as T
@@ -91,7 +92,7 @@ def epub_blocks(parts: DataFrame) -> DataFrame:
     return html_blocks(docs, ["book", "spine_idx", "path"], "html")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decoded(content: pd.Series) -> pd.Series:
     """The first of UTF-8 (with or without mark), GBK and Big5 that fits, else UTF-8 with replacements."""
 
