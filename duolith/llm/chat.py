@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from duolith.llm.common import bounded
+
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 #: Turns that a template sees at most, and those it still sees when older ones are let go.
@@ -186,7 +188,7 @@ def digest_conversations(conversations: DataFrame) -> DataFrame:
         if done:
             yield put(done)
 
-    return ordered(conversations).mapInArrow(run, schema)
+    return bounded(ordered(conversations)).mapInArrow(run, schema)
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
@@ -212,4 +214,4 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), types, strict=True)], schema=types)
 
-    return ordered(conversations).mapInArrow(run, schema)
+    return bounded(ordered(conversations)).mapInArrow(run, schema)

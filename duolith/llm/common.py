@@ -94,6 +94,18 @@ def membership(wanted: DataFrame) -> Callable[[Column], Column]:
     return test
 
 
+#: What goes to a Python worker at once: rows, and bytes where the rows are long.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are small enough for whole texts."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def map_texts(df: DataFrame, make: Callable[[list[str]], dict[str, list]], schema: str, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Runs a Python step over whole texts, a bounded slice at a time.
 
@@ -114,4 +126,4 @@ def map_texts(df: DataFrame, make: Callable[[list[str]], dict[str, list]], schem
                 yield pa.RecordBatch.from_arrays([keys, *(pa.array(made[f.name], f.type) for f in types)], names=[key, *types.names])
 
     kind = dict(df.dtypes)[key]
-    return df.select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, {schema}")
+    return bounded(df.select(key, F.col(text).cast("string").alias("text"))).mapInArrow(run, f"`{key}` {kind}, {schema}")

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duolith.llm.common import crc_of_id, map_texts
+from duolith.llm.common import bounded, crc_of_id, map_texts
 
 BITS, WIDTH, GRAMS = 16, 16, (2, 3, 4, 5)
 BUCKETS = 1 << BITS
@@ -168,4 +168,4 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
             pairs = [predict(m, t or "") for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array([lang != UNKNOWN and p >= m.least for lang, p in pairs], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

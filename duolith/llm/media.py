@@ -18,7 +18,7 @@ from typing import NamedTuple
 import ahocorasick
 from pyspark.sql import DataFrame
 
-from duolith.llm.common import map_texts
+from duolith.llm.common import bounded, map_texts
 
 
 class Medium(NamedTuple):
@@ -244,7 +244,7 @@ def correct(media: DataFrame, *, key: str = "media_id") -> DataFrame:
 
     kind = dict(media.dtypes)[key]
     schema = f"`{key}` {kind}, declared string, detected string, corrected boolean, length_ok boolean, embedded array<struct<type: string, start: bigint, length: bigint>>"
-    return media.selectExpr(f"`{key}`", "cast(declared as string) declared", "cast(content as binary) content").mapInArrow(run, schema)
+    return bounded(media.selectExpr(f"`{key}`", "cast(declared as string) declared", "cast(content as binary) content")).mapInArrow(run, schema)
 
 
 def wave(samples: bytes, rate: int = 8000) -> bytes:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duolith.llm.common import crc_of_id, map_texts
+from duolith.llm.common import bounded, crc_of_id, map_texts
 
 BITS = 20
 #: Labelled rows that training sees at most, of each label.
@@ -148,4 +148,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, train_on: DataFrame) -> DataFr
             keep = [goodness(w, t or "") >= THRESHOLD for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
