@@ -249,7 +249,7 @@ def signal_map(t: Column) -> Column:
     dotted = F.translate(_text(t), "–—−‐-", ".....")
     return F.create_map(
         F.lit("num"), F.array_distinct(_all(dotted, "[0-9]+\\.[0-9]+")),
-        F.lit("int"), F.array_distinct(_all(t, "(?<![0-9.])[0-9]{2,}(?![0-9.])")),
+        F.lit("int"), F.array_distinct(_all(dotted, "(?<![0-9.])[0-9]{2,}(?![0-9.])")),
         F.lit("quot"), F.array_distinct(F.transform(_all(t, "[“\"「]([^”\"」]{4,})[”\"」]", 1), F.lower)),
         F.lit("eq"), F.array_distinct(_all(dotted, "[（(]([0-9]{1,2}\\.[0-9]{1,3}[a-z]?)[)）]", 1)),
         F.lit("word"), _without(F.transform(_all(t, "[A-Za-z]{4,}"), F.lower), SIGNAL_STOP),

@@ -239,7 +239,7 @@ def heading_classes(css: DataFrame, ratio: float = 1.12) -> DataFrame:
     rule = "(?s)([^{}]+)\\{([^{}]*)\\}"
     pairs = F.arrays_zip(F.regexp_extract_all("css", F.lit(rule), F.lit(1)).alias("sel"), F.regexp_extract_all("css", F.lit(rule), F.lit(2)).alias("body"))
     rows = css.select("book", F.posexplode(pairs).alias("n", "r")).select("book", "n", F.col("r.body").alias("body"), F.explode(F.regexp_extract_all("r.sel", F.lit("\\.([\\w-]+)"), F.lit(1))).alias("cls"))
-    told = F.regexp_extract("body", "font-size\\s*:\\s*([0-9.]+)", 1).cast("double")
+    told = F.regexp_extract("body", "font-size\\s*:\\s*([0-9.]+)", 1).try_cast("double")
     unit = F.regexp_extract("body", "font-size\\s*:\\s*[0-9.]+\\s*(px|pt|em|rem|%)", 1)
     px = told * F.when(unit == "pt", 4 / 3).when(unit.isin("em", "rem"), 16.0).when(unit == "%", 0.16).otherwise(1.0)
     rows = rows.withColumn("px", px).withColumn("_bucket", F.bround(F.col("px") * 2) / 2)
