@@ -366,6 +366,27 @@ def ratcliff(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a row of bits at a time."""
+    masks: dict[str, int] = {}
+    for i, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        hit = row & masks.get(c, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
+
+
+def ratcliff_from(a: str, b: str, least: float) -> float | None:
+    """The similarity if it is `least` or more. Common blocks are a common subsequence, whose length rules most pairs out."""
+    if 2 * common_subsequence(a, b) < least * (len(a) + len(b)):
+        return None
+    ratio = ratcliff(a, b)
+    return ratio if ratio >= least else None
+
+
 def pack_next(sizes: Sequence[int], most: int = 96 * 1024, tail: int = 24 * 1024) -> list[int]:
     """K4: next-fit packing in order; a short last bin joins the one before."""
     out, bin_, held = [], 0, 0

@@ -204,12 +204,12 @@ def fuzzy_duplicates(texts: DataFrame, key: str, *, threshold: float = 0.75, lea
 
     def run(batches):
         for pdf in batches:
-            yield pdf[[key, "i", "other"]].assign(ratio=[K.ratcliff(x, y) for x, y in zip(pdf["x"], pdf["y"], strict=True)])
+            out = pdf[[key, "i", "other"]].assign(ratio=[K.ratcliff_from(x, y, threshold) for x, y in zip(pdf["x"], pdf["y"], strict=True)])
+            yield out[out["ratio"].notna()]
 
     kinds = dict(texts.dtypes)
     scored = near.select(key, "i", "other", "x", "y").mapInPandas(run, f"{key} {kinds[key]}, i {kinds['idx']}, other {kinds['idx']}, ratio double")
-    best = scored.where(F.col("ratio") >= threshold)
-    return matching.first_of(best, [key, "i"], [F.desc("ratio"), "other"]).withColumnRenamed("i", "idx")
+    return matching.first_of(scored, [key, "i"], [F.desc("ratio"), "other"]).withColumnRenamed("i", "idx")
 
 
 def one_sided_kind(t: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from duolith.functions import text as T
 from duolith.operators import alignment, audit, corpus, matching, usage
 from duolith.operators import sequences as S
+from duolith.operators import structure as B
 from duolith.plans import align_corpus as A
 from duolith.plans.align_corpus import table
 from duolith.sources import readers
@@ -574,6 +575,69 @@ def page_sections(spark, sf_dir):
     return S.split_sections(S.fold_head_noise(S.fill_captions(S.promote_first(b)))).select("doc_id", "pos", "type", "sec", "para_idx")
 
 
+# ---------------------------------------------------------------- structure
+
+
+@query("WITH " + HEADS + f""", l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC) <= 10 AS tail FROM b)
+SELECT doc_id, count(*) FILTER (type = 'heading') AS headings, count(*) FILTER (type = 'para') AS paras, 0 AS visuals, cast(sum(len(regexp_extract_all(text, '\\[[0-9]{{1,3}}\\]'))) AS bigint) AS note_marks,
+ cast(round(1000 * avg(CASE WHEN tail THEN {NOTE} END)) AS bigint) AS note_thousandth FROM l GROUP BY 1""")
+def chapter_stats(spark, sf_dir):
+    """Invariants of each document."""
+    out = B.chapter_stats(blocks(spark, sf_dir), "doc_id")
+    return out.withColumn("note_thousandth", F.round(F.col("note_likeness") * 1000).cast("bigint")).drop("note_likeness")
+
+
+@query(f"""WITH {COPY}, a AS (SELECT DISTINCT doc_id, idx, unnest(list_transform(list_concat(regexp_extract_all(text, '[A-Za-z]{{4,}}'), list_transform(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) BETWEEN 3 AND 4), lambda x: x)), lambda x: lower(x))) AS h FROM paras),
+ b AS (SELECT DISTINCT doc_id, unnest(list_transform(list_concat(regexp_extract_all(text, '[A-Za-z]{{4,}}'), list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) BETWEEN 3 AND 4)), lambda x: lower(x))) AS h FROM copy)
+SELECT a.doc_id, a.idx, count(*) AS n_hints, count(b.h) AS n_found FROM a LEFT JOIN b ON a.doc_id = b.doc_id AND a.h = b.h GROUP BY ALL""")
+def hint_hits(spark, sf_dir):
+    """Q13: hints of each paragraph that the other edition has."""
+    a, b = A.editions(docs(spark, sf_dir))
+    return B.hint_hits(a, b, "doc_id")
+
+
+@query("SELECT count(*) AS refs, count(DISTINCT l_orderkey) AS distinct_refs, count(*) FILTER (o_orderkey IS NULL) AS dead FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")
+def reference_check(spark, sf_dir):
+    """References, different ones, and those without target."""
+    refs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"))
+    dead = matching.dead_references(refs, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), "k")
+    return refs.agg(F.count("*").alias("refs"), F.count_distinct("k").alias("distinct_refs")).join(dead.agg(F.count("*").alias("dead")))
+
+
+@query(f"""WITH {COPY}, n AS (SELECT doc_id, count(*) AS n FROM paras GROUP BY 1), g AS (SELECT *, tgt < lag(tgt) OVER (PARTITION BY doc_id ORDER BY src) AS back FROM gold)
+SELECT g.doc_id AS key, count(*) = count(DISTINCT tgt) AS unique_targets, NOT coalesce(bool_or(back), false) AS monotone, cast(floor(1000 * count(DISTINCT src) / max(n)) AS bigint) AS covered_thousandth FROM g JOIN n USING (doc_id) GROUP BY 1""")
+def map_integrity(spark, sf_dir):
+    """Checks of the gold mapping."""
+    a, b = A.editions(docs(spark, sf_dir))
+    n = a.groupBy("doc_id").agg(F.count("*").alias("n"))
+    g = corpus.gold_links(b).join(n, "doc_id").withColumnRenamed("doc_id", "key").withColumn("ord", F.col("src"))
+    out = matching.mapping_integrity(g, F.col("n"), F.col("n"))
+    return out.select("key", "unique_targets", "monotone", F.floor(F.col("coverage") * 1000).cast("bigint").alias("covered_thousandth"))
+
+
+@query(f"""WITH {COPY}, s AS (SELECT trim(text) AS t FROM paras p WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = p.doc_id AND g.src = p.idx)),
+ k AS (SELECT CASE WHEN t = '' THEN 'empty' WHEN regexp_matches(t, '(?i)^(?:[图表]\\s*[0-9]+|(?:fig(?:ure)?|table|equation|eq)\\.?\\s*[0-9]+)') AND length(t) <= 110 THEN 'caption' WHEN regexp_matches(t, '^\\s*\\[[0-9]{{1,3}}\\]|^\\s*[①-⑳]') THEN 'footnote'
+  WHEN length(t) <= 24 AND NOT regexp_matches(t, '[。！？；，、.!?;:,]') THEN 'metadata' WHEN length(t) <= 40 AND NOT regexp_matches(t, '[。！？；，、.!?;:,]') THEN 'lead-in' WHEN regexp_matches(t, '\\$|\\\\[a-zA-Z]{{2,}}') AND length(t) <= 80 THEN 'formula' ELSE 'prose' END AS kind FROM s) SELECT kind, count(*) AS n FROM k GROUP BY 1""")
+def one_sided_kinds(spark, sf_dir):
+    """Kinds of paragraphs that the copy lacks."""
+    a, b = A.editions(docs(spark, sf_dir))
+    lone = a.join(corpus.gold_links(b).select("doc_id", F.col("src").alias("idx")), ["doc_id", "idx"], "left_anti")
+    return lone.groupBy(B.one_sided_kind(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query()
+def unit_kinds(spark, sf_dir):
+    """What kind of unit each page's title opens."""
+    t = title_rows(spark, sf_dir).where("src = 'title'")
+    return t.select("file", B.unit_kind(F.col("text"), F.lit("")).alias("k")).select("file", "k.*")
+
+
+@query()
+def fuzzy_paragraphs(spark, sf_dir):
+    """Paragraphs of a document that nearly repeat one another."""
+    return B.fuzzy_duplicates(paras(spark, sf_dir), "doc_id")
+
+
 # ---------------------------------------------------------------- alignment
 
 
