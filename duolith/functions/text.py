@@ -123,6 +123,7 @@ def note_likeness(t: Column) -> Column:
     return F.when(F.length(t) == 0, 0.0).otherwise(F.greatest(latin, cue, cited))
 
 
+# The shape of a reference.
 REFERENCE = (
     "\\([0-9]{4}[a-z]?\\)|\\b(?:pp?\\.|Vol\\.|No\\.|doi:|https?://|Retrieved from|eds?\\.|In [A-Z][a-z]+,)\\b|^\\s*[A-Z][A-Za-z'\\-]+,\\s+[A-Z]\\."
 )
@@ -144,6 +145,7 @@ def is_footnote(t: Column) -> Column:
     return _text(t).rlike("^\\s*\\[[0-9]{1,3}\\]|^\\s*[\\u2460-\\u2473]")
 
 
+# Connectives between formulas.
 CONNECTIVE_EN = (
     "(?i)^\\W*(where|we have|and|or|but|then|so|thus|hence|if|for|with|is|are|is equal to|or, equally well|likewise|namely|that is|i\\.?e\\.?"
     "|it follows|the proposition|we find that|and, after some rather tedious algebra,[\\s\\w]*we find that|first we note that|in this case|in general|note that"
@@ -167,6 +169,7 @@ def is_untranslated_section(title: Column, chapter_title: Column, key: Column) -
     return _text(title).rlike(kinds) | _text(chapter_title).rlike(kinds) | _text(key).rlike("(?i)^(bibliography|references?|index|subjectindex|nameindex)$")
 
 
+# What counts as mathematics and as code.
 MATHY = "\\$[^$]{2,}\\$|\\\\[a-zA-Z]{2,}|\\\\frac|\\\\sum|\\\\int|\\\\tag"
 CODEY = "(?m)(?:^\\s*>>>|^\\s*(?:import|from|def|class|plt\\.|np\\.|tf\\.)|\\w+\\s*=\\s*\\w+\\(|\\{\\s*\\w+\\s*:)"
 
@@ -288,6 +291,7 @@ def is_caption(t: Column) -> Column:
     return label & (F.length(s) <= 110) & (_count(s, "[。.!?！？](?:\\s|$)") <= 2)
 
 
+# A label that stands alone.
 CAPTION_ONLY = "(?i)^(?:[图表]\\s*[0-9]+\\s*[-–—]\\s*[0-9]+|(?:Figure|Table|Fig\\.?|Equation|Eq\\.?)\\s*[0-9]+(?:[.\\-–—][0-9]+)?)\\s*[.．:：·、,，\\-–—]?\\s*$"
 
 
@@ -348,6 +352,7 @@ def formatted_count(n: Column) -> Column:
 
 
 # Blocks and lines.
+# Classes of headings, titles and quotes.
 HEAD_CLASS = "(?i)(?:^|[\\s_-])h([1-6])(?:[a-z])?(?:[\\s_-]|$)"
 TITLE_CLASS = "(?i)(?:^|[\\s_-])(?:chapter|section|part)[\\s_-]?title(?:[\\s_-]|$)|(?:^|[\\s_-])fm[\\s_-]?title[0-9]*(?:[\\s_-]|$)"
 QUOTE_CLASS = "(?i)(?:^|[\\s_-])(?:disp[\\s_-]?(?:quote|para|source)|epigraph|extract)(?:[\\s_-]|$)"

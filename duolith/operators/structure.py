@@ -11,7 +11,7 @@ from duolith.functions import text as T
 from duolith.operators import matching
 from duolith.operators import sequences as S
 
-# Titles that say what a unit is.
+# Titles and file names that say what a unit is.
 FRONT_TITLES = ["prologue", "preface", "foreword", "introduction", "editor’s foreword", "editor's foreword", "序言", "前言", "编者序", "引言", "导言"]
 BACK_TITLES = ["epilogue", "conclusions", "conclusion", "afterword", "acknowledgments", "acknowledgements", "结语", "结论", "后记", "致谢"]
 SKIPPED = (
