@@ -14,6 +14,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,7 +100,7 @@ def train(texts: list[str], langs: list[str], *, passes: int = 3, rate: float =
             embed[at] -= speed * np.minimum(1.0, share * len(at))[:, None] * back
             done += 1
     logits = embed @ out
-    raw = np.array([share @ logits[at] + bias for at, share, _ in kept]).reshape(len(kept), -1)
+    raw = np.array([share @ logits[at] + bias for at, share, _ in kept])
     truth = np.array([y for *_, y in kept], dtype=int)
     heat, least = 1.0, 0.0
     if len(kept):
@@ -120,19 +121,39 @@ def predict(m: Model, text: str) -> tuple[str, float]:
     return m.languages[best], float(p[best])
 
 
-def training_sample(docs: DataFrame) -> tuple[list[str], list[str]]:
-    """At most MOST_ROWS rows of each of the MOST_LANGUAGES commonest languages outside the held-out fold, by a hash of the id."""
+def training_sample(docs: DataFrame) -> DataFrame:
+    """h, text, lang of at most MOST_ROWS rows of each of the MOST_LANGUAGES commonest languages outside the held-out fold, by a hash of the id.
+
+    Rows are ranked within parts of a language first, so that no task ranks a common
+    language alone.
+    """
     rows = docs.where("text is not null and lang is not null and doc_id is not null").where(crc_of_id(F.col("doc_id")) % 4 != 2)
     common = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.where(F.col("lang").isin(common)).select("doc_id", "lang").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= MOST_ROWS).drop("_n")
-    picked = F.broadcast(picked.distinct())  # at most MOST_ROWS * MOST_LANGUAGES ids
-    found = rows.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"]).orderBy(F.xxhash64("doc_id"), "doc_id", "text").collect()
-    return [r["text"] for r in found], [r["lang"] for r in found]
+    h = F.xxhash64("doc_id")
+    picked = rows.where(F.col("lang").isin(common)).select("doc_id", "lang", h.alias("h"), F.pmod(h, F.lit(64)).alias("part"))
+    for key in (("lang", "part"), ("lang",)):
+        w = Window.partitionBy(*key).orderBy("h", "doc_id")
+        picked = picked.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= MOST_ROWS).drop("_n")
+    picked = F.broadcast(picked.select("doc_id", "lang", "h").distinct())  # at most MOST_ROWS * MOST_LANGUAGES ids
+    return rows.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"]).select("h", "text", "lang")
 
 
 def fit(docs: DataFrame) -> Model:
-    return train(*training_sample(docs))
+    """Trains in one task, which gets the bounded sample only; the driver gets the model."""
+
+    def run(batches):
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        m = train([t for _, t, _ in rows], [x for *_, x in rows])
+        made = [[m.languages], [m.logits.tobytes()], [m.bias.tobytes()], [m.heat], [m.least]]
+        kinds = [pa.list_(pa.string()), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(made, kinds, strict=True)], names=["languages", "logits", "bias", "heat", "least"])
+
+    told = bounded(training_sample(docs).repartition(1)).mapInArrow(run, "languages array<string>, logits binary, bias binary, heat double, least double").collect()
+    if not told or not told[0]["languages"]:
+        return train([], [])
+    r = told[0]
+    logits, bias = (np.frombuffer(r[c], np.float32) for c in ("logits", "bias"))
+    return Model(list(r["languages"]), logits.reshape(BUCKETS, -1), bias, r["heat"], r["least"])
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -161,8 +182,6 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        import pyarrow as pa
-
         m = told.value
         for batch in batches:
             pairs = [predict(m, t or "") for t in batch.column("text").to_pylist()]

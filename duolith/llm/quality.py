@@ -13,6 +13,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,16 +91,27 @@ def train(texts: list[str], labels: list[int], *, passes: int = 4, seed: int = 7
     return model.weights(slice(None)).astype(np.float32)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
-    """At most MOST_ROWS rows of each label outside the held-out fold, chosen by a hash of the id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """h, text, quality of at most MOST_ROWS rows of each label outside the held-out fold, chosen by a hash of the id."""
     known = labels.where("doc_id is not null and quality in (0, 1)").where(crc_of_id(F.col("doc_id")) % 5 != 0).select("doc_id", "quality")
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_other")).where("quality = _other")
+    known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("quality").alias("_other")).where("quality = _other")
     picked = None
     for y in (0, 1):
         some = known.where(F.col("quality") == y).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_ROWS)
         picked = some if picked is None else picked.unionByName(some)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # at most 2 * MOST_ROWS ids
-    return [r["text"] or "" for r in rows], [r["quality"] for r in rows]
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * MOST_ROWS ids
+    return rows.select(F.xxhash64("doc_id").alias("h"), F.coalesce("text", F.lit("")).alias("text"), "quality")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+    """Trains in one task, which gets the bounded sample only; the driver gets the weights."""
+
+    def run(batches):
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([train([t for _, t, _ in rows], [y for *_, y in rows]).tobytes()], pa.binary())], names=["weights"])
+
+    told = bounded(labelled_sample(docs, labels).repartition(1)).mapInArrow(run, "weights binary").collect()
+    return np.frombuffer(told[0][0], np.float32) if told else train([], [])
 
 
 #: One memory of words for each worker process.
@@ -133,16 +145,14 @@ def classify(docs: DataFrame, labels: DataFrame, train_on: DataFrame | None = No
     repeated rows stay; an empty table gives an empty table; other columns are not
     read.
     """
-    return score(docs, train(*labelled_sample(train_on if train_on is not None else docs, labels)))
+    return score(docs, fit(train_on if train_on is not None else docs, labels))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, train_on: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that the classifier doesn't reject."""
-    weights = docs.sparkSession.sparkContext.broadcast(train(*labelled_sample(train_on, labels)))
+    weights = docs.sparkSession.sparkContext.broadcast(fit(train_on, labels))
 
     def run(batches):
-        import pyarrow as pa
-
         w = weights.value
         for batch in batches:
             keep = [goodness(w, t or "") >= THRESHOLD for t in batch.column("text").to_pylist()]
