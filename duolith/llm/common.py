@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +46,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Rows:
+    """Sparse rows in two growing buffers: whole blocks that go back to the system when they are let go."""
+
+    def __init__(self) -> None:
+        self.places, self.values, self.ends = array("i"), array("f"), [0]
+
+    def add(self, places: np.ndarray, values: np.ndarray) -> None:
+        self.places.frombytes(places.astype(np.int32).tobytes())
+        self.values.frombytes(values.astype(np.float32).tobytes())
+        self.ends.append(len(self.places))
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.ends[i], self.ends[i + 1]
+        return np.frombuffer(self.places, np.int32, b - a, 4 * a), np.frombuffer(self.values, np.float32, b - a, 4 * a)
+
+
 def crc_of_id(doc_id: Column) -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duolith.llm.common import bounded, crc_of_id, map_texts
+from duolith.llm.common import Rows, bounded, crc_of_id, map_texts
 
 BITS, WIDTH, GRAMS = 16, 16, (2, 3, 4, 5)
 BUCKETS = 1 << BITS
@@ -78,18 +78,19 @@ def train(texts: list[str], langs: list[str], *, passes: int = 3, rate: float =
     where = {n: i for i, n in enumerate(names)}
     dice = np.random.default_rng(seed)
     embed, out, bias = dice.uniform(-0.5, 0.5, (BUCKETS, WIDTH)) / WIDTH, np.zeros((WIDTH, max(1, len(names)))), np.zeros(max(1, len(names)))
-    rows, kept = [], []
+    rows, kept, truths = Rows(), Rows(), ([], [])
     for i, (text, lang) in enumerate(zip(texts, langs, strict=True)):
         lines = [x for x in text.split("\n") if x.strip()]
         if len(lines) > MOST_LINES:
             lines = [lines[k] for k in dice.choice(len(lines), MOST_LINES, replace=False)]
         for part in [text, *lines] if len(lines) > 1 else [text]:
             if c := counted(part):
-                (kept if i % 8 == 7 else rows).append((*c, where[lang]))
+                (kept if i % 8 == 7 else rows).add(*c)
+                truths[i % 8 == 7].append(where[lang])
     steps, done = max(1, passes * len(rows)), 0
     for _ in range(passes):
         for k in dice.permutation(len(rows)):
-            at, share, y = rows[k]
+            (at, share), y = rows[k], truths[0][k]
             speed = rate * (1 - done / steps)
             mean = share @ embed[at]
             error = softmax(mean @ out + bias)
@@ -100,8 +101,8 @@ def train(texts: list[str], langs: list[str], *, passes: int = 3, rate: float =
             embed[at] -= speed * np.minimum(1.0, share * len(at))[:, None] * back
             done += 1
     logits = embed @ out
-    raw = np.array([share @ logits[at] + bias for at, share, _ in kept])
-    truth = np.array([y for *_, y in kept], dtype=int)
+    raw = np.array([share @ logits[at] + bias for at, share in map(kept.__getitem__, range(len(kept)))])
+    truth = np.array(truths[1], dtype=int)
     heat, least = 1.0, 0.0
     if len(kept):
         loss = lambda h: -np.log(np.maximum(softmax(raw / h)[np.arange(len(kept)), truth], 1e-9)).mean()

@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duolith.llm.common import bounded, crc_of_id, map_texts
+from duolith.llm.common import Rows, bounded, crc_of_id, map_texts
 
 BITS = 20
 #: Labelled rows that training sees at most, of each label.
 MOST_ROWS = 3000
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 THRESHOLD = 0.3
 EDGES = re.compile(r"(\W*)(.*?)(\W*)", re.DOTALL)
 SAME, CAPITALS = zlib.crc32(b"\0same"), zlib.crc32(b"\0capitals")
@@ -82,12 +82,14 @@ class Ftrl:
 
 def train(texts: list[str], labels: list[int], *, passes: int = 4, seed: int = 7) -> np.ndarray:
     """Weights, with the bias last; zeros where there is nothing to learn from."""
-    features, model, bias = Features(), Ftrl(), 1 << BITS
-    rows = [(np.append(at, bias), np.append(x, 1.0), y) for (at, x), y in zip(map(features, texts), labels, strict=True)]
+    features, model, bias, rows = Features(), Ftrl(), 1 << BITS, Rows()
+    for text in texts:
+        at, x = features(text)
+        rows.add(np.append(at, bias), np.append(x, 1.0))
     order = np.random.default_rng(seed)
     for _ in range(passes):
         for i in order.permutation(len(rows)):
-            model.learn(*rows[i])
+            model.learn(*rows[i], labels[i])
     return model.weights(slice(None)).astype(np.float32)
 
 
