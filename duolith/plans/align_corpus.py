@@ -27,6 +27,7 @@ def aligned(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame, DataFrame
 def audited(docs: DataFrame) -> DataFrame:
     """Each document's alignment under the calibrated ruler."""
     links, source, copy = aligned(docs)
+    links = links.persist()  # read three times below; arrays of places only, recomputed if lost
     return audit.audit_calibrated(audit.with_texts(links, source, copy, "doc_id"), ["doc_id"])
 
 
