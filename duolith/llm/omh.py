@@ -9,19 +9,22 @@ a pair is a link if an alignment within a band of diagonals shows that the edits
 are at most a fifth of the longer text. Classes are the connected components.
 
 Equal word sequences are one node from the start. In a band's group, each node is
-compared with the least one, components are contracted, and then nodes of
-different components with each other. Groups above MOST nodes are split by the
-band's four least k-mers instead of two; if such a part is still above MOST, its
-nodes are compared with the least one and one node of each component with the
-others', so work stays in proportion to the group.
+compared with the least one, components are contracted, and then all nodes of
+different components with each other. Groups above MOST nodes are also compared
+with the least node of each part that agrees in the band's four least k-mers, so
+that more is contracted; then their nodes meet by classes of length in salted
+blocks, where lengths and word histograms rule out pairs that cannot be links. No
+pair is left out: the work grows with the square of what isn't contracted.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -37,6 +40,8 @@ MOST = 40
 #: Places of the word histogram that bounds the edit distance from below.
 BINS = 256
 BLOCK = 1 << 16
+#: Nodes of one side of a block in which a crowded group's nodes meet, and pairs looked at together there.
+SIDE, AT_ONCE = 500, 1 << 15
 
 OTHER = re.compile(r"\W+")
 BASE = 0x9E3779B97F4A7C15
@@ -258,6 +263,69 @@ def ordered_pairs(df: DataFrame, a: Column, b: Column) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a != b").distinct()
 
 
+def not_ruled_out(x: pd.DataFrame, y: pd.DataFrame | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in x and y (None: x with itself) of pairs of two labels whose lengths and word histograms allow a link.
+
+    Of two rows one at least is of the block's own class of length.
+    """
+    z = x if y is None else y
+    one, two = (np.frombuffer(b"".join(df["bins"]), np.uint8).reshape(-1, BINS).astype(np.int16) for df in (x, z))
+    few_one, few_two = (b.reshape(len(b), -1, 8).sum(2, dtype=np.int16) for b in (one, two))  # a first, looser bound
+    found = [], []
+    rows = max(1, AT_ONCE // max(1, len(z)))
+    at = np.arange(len(z))
+    for start in range(0, len(x), rows):
+        part = x.iloc[start : start + rows]
+        n, m = part["n"].to_numpy()[:, None], z["n"].to_numpy()[None, :]
+        most = (np.maximum(n, m) * (1 - similarity) + 1e-9).astype(np.int64)
+        ok = (np.abs(n - m) <= most) & (part["label"].to_numpy()[:, None] != z["label"].to_numpy()[None, :])
+        ok &= part["own"].to_numpy()[:, None] | z["own"].to_numpy()[None, :]
+        if y is None:
+            ok &= at[None, :] > start + np.arange(len(part))[:, None]
+        i, j = np.nonzero(ok)
+        for a, b in ((few_one, few_two), (one, two)):
+            keep = np.abs(a[i + start] - b[j]).sum(1, dtype=np.int64) <= 2 * most[i, j]
+            i, j = i[keep], j[keep]
+        found[0].append(i + start)
+        found[1].append(j)
+    return tuple(np.concatenate(f) if f else np.zeros(0, np.int64) for f in found)
+
+
+def across(crowd: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of two labels within a group that lengths and histograms don't rule out. crowd: key, id, label.
+
+    A group's nodes meet by class of length, each class with itself and with the next
+    shorter one. Nodes of the largest component, which needn't meet each other, and the
+    rest are dealt into parts of about SIDE; a part of the rest meets all other parts.
+    """
+    counted = crowd.groupBy("key", "label").agg(F.count("*").alias("n"))
+    main = counted.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    wide = math.log(1.01 / similarity) if similarity > 0 else math.inf
+    held = crowd.join(main, "key").join(nodes.select("id", "n", "bins"), "id").withColumn("rest", F.col("label") != F.col("main"))
+    held = held.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / wide).cast("int"))
+    held = held.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("cls", F.when(F.col("own"), F.col("cls")).otherwise(F.col("cls") + 1))
+    cells = held.groupBy("key", "cls").agg(F.count_if("own").alias("owns"), F.count_if("rest").alias("r"), F.count_if(~F.col("rest")).alias("m"))
+    parts = lambda c: F.ceil(F.col(c) / SIDE).cast("int")
+    cells = cells.where("owns > 0 and r > 0 and r + m > 1").select("key", "cls", parts("r").alias("r"), parts("m").alias("m"))
+    held = held.join(cells, ["key", "cls"]).withColumn("part", F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("r")).otherwise(F.col("m"))).cast("int"))
+    # Parts of the rest are 0..r-1, those of the main component r..r+m-1; a block is a part of the rest and a part from it on.
+    held = held.withColumn("part", F.when(F.col("rest"), F.col("part")).otherwise(F.col("part") + F.col("r")))
+    others = F.when(F.col("rest"), F.sequence(F.lit(0), F.col("r") + F.col("m") - 1)).otherwise(F.sequence(F.lit(0), F.col("r") - 1))
+    held = held.withColumn("other", F.explode(others)).withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
+    kind = dict(nodes.dtypes)["id"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        same = pdf["p"].iloc[0] == pdf["q"].iloc[0]
+        x = pdf if same else pdf[pdf["part"] == pdf["p"]]
+        y = x if same else pdf[pdf["part"] == pdf["q"]]
+        i, j = not_ruled_out(x, None if same else y, similarity) if len(x) and len(y) else (np.zeros(0, np.int64),) * 2
+        return pd.DataFrame({"a": x["id"].to_numpy()[i], "b": y["id"].to_numpy()[j]})
+
+    blocks = held.select("key", "cls", "p", "q", "part", "id", "label", "own", "n", "bins")
+    met = bounded(blocks).groupBy("key", "cls", "p", "q").applyInPandas(run, f"a {kind}, b {kind}")
+    return ordered_pairs(met, F.col("a"), F.col("b"))
+
+
 def near_classes(docs: DataFrame, *, similarity: float = SIMILARITY, most: int = MOST) -> DataFrame:
     """Class of each document: doc_id, class_id (the least doc_id of its class).
 
@@ -273,27 +341,24 @@ def near_classes(docs: DataFrame, *, similarity: float = SIMILARITY, most: int =
     nodes = staged(nodes, "nodes")
     entries = nodes.select("id", F.explode(F.arrays_zip("two", "four")).alias("k")).select("id", "k.*").distinct()
     sized = entries.join(grouped(entries, "two").select("two", "size", "least"), "two")
-    few = sized.where(F.col("size") <= most).select("id", F.col("two").alias("key"), "size", "least", F.lit(False).alias("many"))
-    crowd = sized.where(F.col("size") > most).select("id", "four")
-    split = crowd.join(grouped(crowd, "four"), "four").select("id", F.col("four").alias("key"), "size", "least", (F.col("size") > most).alias("many"))
-    groups = staged(few.unionByName(split), "groups")
+    groups = sized.select("id", F.col("two").alias("key"), "size", "least", (F.col("size") > most).alias("many"))
+    groups = staged(groups, "groups")
+    crowd = sized.where(F.col("size") > most).select("id", "two", "four")
+    parts = crowd.groupBy("two", "four").agg(F.min("id").alias("least"))
+    parts = crowd.join(parts, ["two", "four"]).select("id", "least")
 
-    first = staged(ordered_pairs(groups, F.col("id"), F.col("least")), "stars")
+    first = staged(ordered_pairs(groups.select("id", "least").unionByName(parts), F.col("id"), F.col("least")), "stars")
     links = staged(verified(first, nodes, docs, similarity), "links")
     label = components(links)
 
     told = groups.where("size > 2").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    heads = told.groupBy("key", "label").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.max("many").alias("many"))
-    open_ = heads.groupBy("key").agg(F.count("*").alias("labels"), F.max("id").alias("last")).where("labels > 1")
-    told = told.join(open_, "key")
+    open_ = told.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+    told = staged(told.join(open_, "key").select("key", "id", "label", "many"), "told")
     x = told.where("not many").select("key", F.col("id").alias("x"), F.col("label").alias("x_label"))
     y = told.where("not many").select("key", F.col("id").alias("y"), F.col("label").alias("y_label"))
     small = ordered_pairs(x.join(y, "key").where("x < y and x_label != y_label"), F.col("x"), F.col("y"))
-    heads = heads.where("many").join(open_, "key")
-    x, y = (heads.where(F.col("labels") <= most).select("key", F.col("id").alias(c)) for c in "xy")
-    medium = ordered_pairs(x.join(y, "key").where("x < y"), F.col("x"), F.col("y"))
-    large = ordered_pairs(heads.where(F.col("labels") > most), F.col("id"), F.col("last"))
-    second = small.unionByName(medium).unionByName(large).distinct().join(first, ["a", "b"], "left_anti")
+    large = across(told.where("many").select("key", "id", "label"), nodes, similarity)
+    second = small.unionByName(large).distinct().join(first, ["a", "b"], "left_anti")
     more = verified(second, nodes, docs, similarity)
     label = components(staged(links.unionByName(more), "links"))
 

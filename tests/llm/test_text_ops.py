@@ -251,6 +251,22 @@ def test_near_classes_equal_brute_force(spark):
     assert label[None] is None
 
 
+def test_crowded_groups_lose_no_pair(spark):
+    """Two hundred texts on one template; their near copies share little but the template's k-mers."""
+    dice = random.Random(8)
+    word = lambda: f"w{dice.randrange(5000)}"
+    shared = " ".join(word() for _ in range(130))
+    rows = []
+    for i in range(100):
+        own = [word() for _ in range(42)]
+        copy = [word() if k % 3 == 0 else w for k, w in enumerate(own)]
+        rows += [(i, shared + " " + " ".join(own)), (1000 + dice.randrange(10**6) * 100 + i, shared + " " + " ".join(copy))]
+    text = dict(rows)
+    assert not any(omh.similar(text[0], text[i]) for i in range(1, 100))
+    got = {r.doc_id: r.class_id for r in omh.near_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: i if i < 100 else (i - 1000) % 100 for i in text}
+
+
 def test_one_of_each_stays(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, "other words here now", "z"), (3, "other words here now", "z"), (None, "q", "q")], "doc_id bigint, text string, class_id string")
     assert sorted((r.doc_id or 0, r.class_id) for r in omh.keep_one(docs).collect()) == [(0, "q"), (1, "x"), (3, "z")]
