@@ -25,8 +25,6 @@ WIDE_MOVES = (*MOVES, (1, 3), (3, 1), (1, 4), (4, 1))
 WINDOW_MOVES = ((1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (3, 2), (1, 0), (0, 1), (3, 1), (1, 3))
 PROBE_RATIOS = (0.72, 0.79, 0.86, 0.93, 1.00, 1.07, 1.14, 1.21, 1.33, 1.44)
 LEAST_SLACK = 3
-#: Cells of a whole matrix; beyond them a path keeps within REACH of the diagonal.
-MOST_CELLS, REACH = 1_000_000, 250
 
 
 @dataclass
@@ -59,29 +57,28 @@ class Link:
     c: float = 0.0
 
 
-def shortest_path(n: int, m: int, moves: Sequence[tuple[int, int]], cost: Callable[[int, int, int, int], float | None], reach: int | None = None) -> list[tuple[int, int, int, int]]:
+def shortest_path(n: int, m: int, moves: Sequence[tuple[int, int]], cost: Callable[[int, int, int, int], float | None]) -> list[tuple[int, int, int, int]]:
     """Moves (i, a, j, b) from (0, 0) to (n, m) of least cost; cost may forbid a move with None.
 
-    reach keeps the path within so many targets of the diagonal, for sequences
-    whose whole matrix would be too large.
+    All cells are looked at. Costs are held for the rows that moves reach, and of each
+    cell its best move only, as a byte.
     """
-    span = (lambda i: range(m + 1)) if reach is None else (lambda i: range(max(0, i * m // max(1, n) - reach), min(m, i * m // max(1, n) + reach) + 1))
     ahead: list[dict[int, float]] = [{} for _ in range(1 + max(a for a, _ in moves))]
     ahead[0][0] = 0.0
-    came: list[dict[int, tuple[int, int]]] = [{} for _ in range(n + 1)]
+    came = [bytearray(m + 1) for _ in range(n + 1)]
     for i in range(n + 1):
         here = ahead[0]
-        for j in span(i):
+        for j in range(m + 1):
             if (now := here.get(j)) is None:
                 continue
-            for a, b in moves:
+            for at, (a, b) in enumerate(moves):
                 if i + a <= n and j + b <= m and (more := cost(i, a, j, b)) is not None and now + more < ahead[a].get(j + b, math.inf):
                     ahead[a][j + b] = now + more
-                    came[i + a][j + b] = (a, b)
+                    came[i + a][j + b] = at
         ahead = [*ahead[1:], {}]
     out, i, j = [], n, m
     while i or j:
-        a, b = came[i][j]
+        a, b = moves[came[i][j]]
         i, j = i - a, j - b
         out.append((i, a, j, b))
     return out[::-1]
@@ -137,7 +134,7 @@ def align(src: Side, tgt: Side, k: float | None = None, *, lexicon: dict[str, di
         return total
 
     out = []
-    for i, a, j, b in shortest_path(n, m, WIDE_MOVES if wide else MOVES, cost, None if n * m <= MOST_CELLS else REACH):
+    for i, a, j, b in shortest_path(n, m, WIDE_MOVES if wide else MOVES, cost):
         link = Link(list(range(i, i + a)), list(range(j, j + b)))
         if a and b:
             em, zm = e[i + a] - e[i], z[j + b] - z[j]

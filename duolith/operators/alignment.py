@@ -2,7 +2,7 @@
 
 Measures are native columns; only the sequential path finding runs in Python, one
 group at a time through cogrouped Arrow batches. A group is one section: its rows
-are measures, not texts, and beyond MOST_CELLS the path keeps to a band.
+are measures, not texts; a path looks at all cells, a byte each, at every size.
 """
 
 from __future__ import annotations
