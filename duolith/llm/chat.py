@@ -10,6 +10,7 @@ the template puts before and after the text, hence the text's own span.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -24,7 +25,7 @@ from duolith.llm.common import bounded
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
-#: Turns that a template sees at most, and those it still sees when older ones are let go.
+#: Turns that a turn-local template sees at most, and those it still sees when older ones are let go.
 MOST_TURNS, KEPT_TURNS = 64, 8
 
 
@@ -84,14 +85,19 @@ class Span(NamedTuple):
 
 
 class Prefixes:
-    """Renders one prefix more with each turn; old turns are let go in long conversations."""
+    """Renders one prefix more with each turn.
+
+    instruction_template writes each turn without regard to the others, so old turns
+    are let go in long conversations; any other template sees all of them.
+    """
 
     def __init__(self, render: Template):
         self.render, self.seen = render, []
+        self.most = MOST_TURNS if render is instruction_template else math.inf
         self.before = render([])
 
     def add(self, role: str, text: str) -> Span:
-        if len(self.seen) >= MOST_TURNS:
+        if len(self.seen) >= self.most:
             self.seen = self.seen[-KEPT_TURNS:]
             self.before = self.render(self.seen)
         out = self.render([*self.seen, (role, text)])
@@ -109,7 +115,8 @@ def format_conversation(turns: list[Turn], render: Template = instruction_templa
     Where the template rewrites history the output is rendered once as a whole, and
     each span is found in it by probes.
     """
-    spans, parts, at, prefixes = [], [], 0, Prefixes(render)
+    prefixes = Prefixes(render)
+    spans, parts, at = [], [prefixes.before], len(prefixes.before)
     for role, text in turns:
         s = prefixes.add(role, text)
         if s.rewrites:

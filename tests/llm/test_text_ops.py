@@ -77,6 +77,20 @@ def test_templates_that_rewrite_history_are_found():
     assert out["rewrites_history"] and [out["formatted"][a:b] for a, b in out["loss"]] == ["YO"]
 
 
+def test_long_conversations_keep_their_whole_history():
+    def numbered(turns):
+        return "<bos>" + "".join(f"{i}<{r}>{x}" for i, (r, x) in enumerate(turns))
+
+    def folded(turns):
+        return "".join(f"<{r}>{x if len(turns) <= 70 or i else '...'}" for i, (r, x) in enumerate(turns))
+
+    turns = [("assistant" if i % 2 else "user", f"t{i}") for i in range(150)]
+    for render, rewrites in ((numbered, False), (folded, True)):
+        out = chat.format_conversation(turns, render)
+        assert (out["formatted"], out["rewrites_history"]) == (render(turns), rewrites)
+        assert [out["formatted"][a:b] for a, b in out["loss"]] == [x for r, x in turns if r == "assistant"]
+
+
 def test_digests_of_conversations(spark):
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a[1]"), (1, 2, None, None), (-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]"), (None, 0, "assistant", "z")]
     rows += [(5, i, "assistant", f"t{i}") for i in range(200)]
