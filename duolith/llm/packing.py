@@ -24,8 +24,12 @@ from duolith.llm.common import map_texts, staged
 
 #: How a byte-level file without a pattern of its own splits text.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Parts into which equal lengths are dealt for ranking.
-PARTS = 256
+#: Settings of a tokenizers file that this module follows; a file that differs is refused.
+PLAIN_BPE = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
+PLAIN_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+PLAIN_TOKEN = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+#: Pieces that a part should hold; equal lengths are dealt into parts for ranking.
+PIECES_OF_A_PART = 50_000
 
 
 class FreeRoom:
@@ -104,21 +108,30 @@ def plan_windows(counts: dict[int, int], window: int) -> np.ndarray:
 _encodings: dict[str, tiktoken.Encoding] = {}
 
 
+def differs(told: dict, want: dict) -> list[str]:
+    return [k for k, v in want.items() if told.get(k, v) != v]
+
+
 def encoding(path: str) -> tiktoken.Encoding:
-    """The byte-level BPE of a tokenizers file, without its special tokens; one for each worker process.
+    """The byte-level BPE of a tokenizers file with its added tokens; one for each worker process.
 
     The file lists its merges in the order of their ids, so its vocabulary gives
-    the ranks that the core of tiktoken needs; the ids are the file's own.
+    the ranks that the core of tiktoken needs; the ids are the file's own. Added
+    tokens are cut out of a text before it is split, as the library does.
     """
     if path not in _encodings:
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
+        odd = differs(told["model"], PLAIN_BPE) + differs(told.get("pre_tokenizer") or {"type": None}, PLAIN_SPLIT)
+        odd += [k for t in told["added_tokens"] for k in differs(t, PLAIN_TOKEN)] + ["normalizer"] * (told.get("normalizer") is not None)
+        if odd:
+            raise ValueError(f"{path}: not followed here: {', '.join(odd)}")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the file writes as themselves
         rest = [b for b in range(256) if b not in plain]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-        special = {t["content"] for t in told["added_tokens"]}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in told["model"]["vocab"].items() if token not in special}
-        _encodings[path] = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        added = {t["content"]: t["id"] for t in told["added_tokens"]}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in told["model"]["vocab"].items() if token not in added}
+        _encodings[path] = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=added)
     return _encodings[path]
 
 
@@ -129,7 +142,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, window: int, end_id: int) ->
         end, encode = np.array([end_id], dtype="<u4").tobytes(), encoding(tokenizer_path).encode_to_numpy
         rows = []
         for i, text in enumerate(texts):
-            raw = encode(text).tobytes() + end
+            raw = encode(text, allowed_special="all").tobytes() + end
             n = len(raw) // 4
             rows += [(i, s, min(window, n - s), zlib.crc32(raw[4 * s : 4 * (s + window)]), n) for s in range(0, n, window)]
         return dict(zip(("_row", "start", "length", "ids_crc32", "doc_tokens"), zip(*rows, strict=True), strict=True))
@@ -143,12 +156,14 @@ def pack(docs: DataFrame, tokenizer_path: str, *, window: int = 2048, end_id: in
     Returns a row for each piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset. Every token lies in one piece, offsets of a sequence have
     no gaps, and a sequence's unused end is its padding. Null and empty texts are
-    the end id alone; repeated rows are packed as often as they occur; ties of
-    length go by a hash of id and start, then id, start and crc; an empty table
-    gives an empty table; further columns of the input are not read.
+    the end id alone; a token that the file adds, written in a text, is that token;
+    repeated rows are packed as often as they occur; ties of length go by a hash of
+    id and start, then id, start and crc; an empty table gives an empty table;
+    further columns of the input are not read, whatever their names.
     """
-    part = F.pmod(F.xxhash64("doc_id", "start"), F.lit(PARTS)).cast("int")
-    pieces = staged(pieces_of(docs, tokenizer_path, window, end_id).withColumn("_part", part), "pieces")
+    pieces = staged(pieces_of(docs, tokenizer_path, window, end_id), "pieces")
+    parts = max(1, -(-pieces.count() // PIECES_OF_A_PART))
+    pieces = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)))
     held = pieces.groupBy("length", "_part").agg(F.count("*").alias("_n"))
     before = held.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
     ranked = (

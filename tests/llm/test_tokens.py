@@ -2,6 +2,7 @@
 
 import bisect
 import hashlib
+import json
 import random
 import re
 import unicodedata
@@ -76,9 +77,17 @@ def test_packing_ids_are_the_tokenizers_own():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    for text in ODD:
-        assert packing.encoding(P.path("byte_bpe_50k.json")).encode_to_numpy(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    dice, bits = random.Random(5), ["<|endoftext|>", "<|endoftext", "|>", " ", "  \n", "a", "it's", "½", "漢", "\t x"]
+    for text in [*ODD, *("".join(dice.choice(bits) for _ in range(dice.randint(1, 12))) for _ in range(300))]:
+        assert packing.encoding(P.path("byte_bpe_50k.json")).encode_to_numpy(text, allowed_special="all").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}])
+def test_tokenizer_files_that_differ_are_refused(tmp_path, change):
+    told = json.load(open(P.path("byte_bpe_50k.json"), encoding="utf-8")) | change
+    (tmp_path / "t.json").write_text(json.dumps(told))
+    with pytest.raises(ValueError, match="not followed"):
+        packing.encoding(str(tmp_path / "t.json"))
 
 
 def best_fit_decreasing(lengths, window):
@@ -111,15 +120,20 @@ def test_plan_equals_best_fit_decreasing(case):
     assert Counter(window - sum(n for _, n in parts) for parts in held.values()) == best_fit_decreasing(lengths, window)
 
 
-def test_pack(spark):
+def test_pack(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "PIECES_OF_A_PART", 40)
     texts = [*ODD, None, "word " * 5000, ODD[2]]
-    rows = packing.pack(rows_of(spark, texts), P.path("byte_bpe_50k.json"), window=64).collect()
+    clashing = rows_of(spark, texts).selectExpr("*", "'y' AS length", "0 AS start", "1 AS sequence_id", "2 AS _part")
+    rows = packing.pack(clashing, P.path("byte_bpe_50k.json"), window=64).collect()
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     docs, seqs = defaultdict(list), defaultdict(list)
     for r in rows:
         docs[r.doc_id].append(r)
         seqs[r.sequence_id].append(r)
     for i, t in enumerate(texts):
-        ids = [*LIBRARY.encode_ordinary(t or ""), 1]
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
         parts = sorted(docs[i], key=lambda r: r.start)
         assert sum(r.length for r in parts) == len(ids) == parts[0].doc_tokens
         for r in parts:
