@@ -11,6 +11,7 @@ which also give the score below which a prediction isn't accepted.
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,20 +23,32 @@ from duolith.llm.common import Rows, bounded, crc_of_id, map_texts
 
 BITS, WIDTH, GRAMS = 16, 16, (2, 3, 4, 5)
 BUCKETS = 1 << BITS
-#: Training rows of each language, languages, and lines of a text at most.
-MOST_ROWS, MOST_LANGUAGES, MOST_LINES = 700, 200, 12
+#: Bounds of the training sample: rows of a language, rows in all (shared out where there are many languages), and lines of a text.
+MOST_ROWS, MOST_IN_ALL, MOST_LINES = 700, 140_000, 12
 #: Share of rightly predicted calibration rows that may be rejected, and the highest score that may be.
 REJECTED, SURE = 0.001, 0.5
 UNKNOWN = "und"
 OTHER = re.compile(r"[\W\d_]+")
+#: Word characters that are neither letters nor digits, such as ½, ² and Ⅷ.
+NUMBERS = frozenset(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+#: The embeddings' rate, times that of the output layer: their gradient is spread over all subwords of a text.
+EMBEDDING_RATE = 30.0
+
+
+def marked(text: str) -> str:
+    """The letters of a text, lower case, with a space for each run of others; empty if there are none."""
+    low = text.lower()
+    if not low.isascii() and not NUMBERS.isdisjoint(low):
+        low = "".join(" " if c in NUMBERS else c for c in low)
+    return OTHER.sub(" ", low).strip()
 
 
 def subwords(text: str) -> np.ndarray:
     """Buckets of all subwords of a text's words, in no order of meaning; empty if it has no letter."""
-    marked = OTHER.sub(" ", text.lower()).strip()
-    if not marked:
+    letters = marked(text)
+    if not letters:
         return np.zeros(0, dtype=np.int64)
-    raw = np.frombuffer(f" {marked} ".encode("utf-8", "replace"), dtype=np.uint8)
+    raw = np.frombuffer(f" {letters} ".encode("utf-8", "replace"), dtype=np.uint8)
     gaps = np.cumsum(raw == 32, dtype=np.int32)
     rolled, out = raw.astype(np.uint64), []
     for n in range(2, max(GRAMS) + 1):
@@ -98,7 +111,7 @@ def train(texts: list[str], langs: list[str], *, passes: int = 3, rate: float =
             back = out @ error
             out -= speed * np.outer(mean, error)
             bias -= 0.01 * speed * error
-            embed[at] -= speed * np.minimum(1.0, share * len(at))[:, None] * back
+            embed[at] -= speed * EMBEDDING_RATE * share[:, None] * back
             done += 1
     logits = embed @ out
     raw = np.array([share @ logits[at] + bias for at, share in map(kept.__getitem__, range(len(kept)))])
@@ -114,6 +127,7 @@ def train(texts: list[str], langs: list[str], *, passes: int = 3, rate: float =
 
 
 def predict(m: Model, text: str) -> tuple[str, float]:
+    """The likeliest language and its probability; `und` and 0 without a letter or without a model."""
     ids = subwords(text)
     if not len(ids) or not m.languages:
         return UNKNOWN, 0.0
@@ -123,20 +137,24 @@ def predict(m: Model, text: str) -> tuple[str, float]:
 
 
 def training_sample(docs: DataFrame) -> DataFrame:
-    """h, text, lang of at most MOST_ROWS rows of each of the MOST_LANGUAGES commonest languages outside the held-out fold, by a hash of the id.
+    """h, text, lang of a bounded sample of each language outside the held-out fold, by a hash of the id.
 
+    A language has MOST_ROWS rows at most, or its share of MOST_IN_ALL where there
+    are many languages. Of rows with the same id and language the least text counts.
     Rows are ranked within parts of a language first, so that no task ranks a common
     language alone.
     """
     rows = docs.where("text is not null and lang is not null and doc_id is not null").where(crc_of_id(F.col("doc_id")) % 4 != 2)
-    common = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
+    many = rows.agg(F.count_distinct("lang")).first()[0]
+    most = max(1, min(MOST_ROWS, MOST_IN_ALL // max(1, many)))
     h = F.xxhash64("doc_id")
-    picked = rows.where(F.col("lang").isin(common)).select("doc_id", "lang", h.alias("h"), F.pmod(h, F.lit(64)).alias("part"))
+    picked = rows.select("doc_id", "lang", h.alias("h"), F.pmod(h, F.lit(64)).alias("part")).distinct()
     for key in (("lang", "part"), ("lang",)):
         w = Window.partitionBy(*key).orderBy("h", "doc_id")
-        picked = picked.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= MOST_ROWS).drop("_n")
-    picked = F.broadcast(picked.select("doc_id", "lang", "h").distinct())  # at most MOST_ROWS * MOST_LANGUAGES ids
-    return rows.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"]).select("h", "text", "lang")
+        picked = picked.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+    picked = F.broadcast(picked.select("doc_id", "lang", "h"))  # at most MOST_IN_ALL ids
+    found = rows.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"])
+    return found.groupBy("doc_id", "lang", "h").agg(F.min("text").alias("text")).select("h", "text", "lang")
 
 
 def fit(docs: DataFrame) -> Model:
@@ -163,7 +181,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     Returns doc_id, held_out, lang_pred, score, accepted for each row. Texts that
     are null or have no letter are `und` with score 0 and not accepted, as is
     everything where there is nothing to learn from; repeated rows stay; an empty
-    table gives an empty table; lang is read in training only, other columns never.
+    table gives an empty table; languages of equal probability go by name; lang is
+    read in training only, other columns never.
     """
     told = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
     least = told.value.least
@@ -179,7 +198,11 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, with all their columns, whose language is predicted and accepted."""
+    """The rows of docs, with all their columns, whose language is predicted and accepted.
+
+    Null texts and texts without a letter go; repeated rows stay together or go
+    together; an empty table gives an empty table.
+    """
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
