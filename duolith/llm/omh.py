@@ -8,13 +8,14 @@ the smaller their edit distance. Documents that agree in a band are candidates;
 a pair is a link if an alignment within a band of diagonals shows that the edits
 are at most a fifth of the longer text. Classes are the connected components.
 
-Equal word sequences are one node from the start. In a band's group, each node is
-compared with the least one, components are contracted, and then all nodes of
-different components with each other. Groups above MOST nodes are also compared
-with the least node of each part that agrees in the band's four least k-mers, so
-that more is contracted; then their nodes meet by classes of length in salted
-blocks, where lengths and word histograms rule out pairs that cannot be links. No
-pair is left out: the work grows with the square of what isn't contracted.
+Equal word sequences are one node from the start. In a band's group each node is
+compared with the least one (in a group above MOST nodes also with the least of
+those that agree in the band's four least k-mers), and components are contracted.
+Groups that still hold several components then meet in blocks, each pair in the
+first band that it has in common: a small group is one block, a large one is cut
+by classes of length into salted parts. Lengths and word histograms rule pairs
+out, the rest is aligned there. No pair is left out: the work grows with the
+square of what isn't contracted.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -35,13 +35,13 @@ from duolith.llm.common import bounded, map_texts, membership, staged
 WORDS_OF_KMER, BANDS, SIMILARITY = 5, 16, 0.8
 #: Texts of up to so many words have bands of 2-mers too: an edit spoils a large part of their 5-mers.
 SHORT = 40
-#: Nodes of a group that are compared with each other.
+#: Nodes of a group above which it is contracted by parts too.
 MOST = 40
 #: Places of the word histogram that bounds the edit distance from below.
 BINS = 256
 BLOCK = 1 << 16
-#: Nodes of one side of a block in which a crowded group's nodes meet, and pairs looked at together there.
-SIDE, AT_ONCE = 500, 1 << 15
+#: Nodes and words of one side of a block, and pairs looked at together there.
+SIDE, WORDS_OF_SIDE, AT_ONCE = 500, 400_000, 1 << 13
 
 OTHER = re.compile(r"\W+")
 BASE = 0x9E3779B97F4A7C15
@@ -146,7 +146,9 @@ def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
     """Whether a word alignment with at most so many edits exists.
 
     Equal ends are set aside; the words' counts bound the edits from below; then
-    the furthest place on each diagonal of the band is followed, edit by edit.
+    the band of 2 * most + 1 diagonals goes through the table column by column, as
+    bits of whole numbers that say where costs rise and fall (Hyyrö's banded form of
+    the bit-parallel algorithm).
     """
     n = min(len(a), len(b))
     if abs(len(a) - len(b)) > most:
@@ -165,31 +167,39 @@ def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
     over = np.bincount(x, minlength=where.max() + 1) - np.bincount(y, minlength=where.max() + 1)
     if max(over[over > 0].sum(), -over[over < 0].sum()) > most:
         return False
-    p, q, goal = x.tolist(), y.tolist(), len(y) - len(x)
-    end_p, end_q = len(p), len(q)
-    far = {0: 0}
-    for e in range(most + 1):
-        new = {}
-        for d in range(-e, e + 1):  # diagonal: place in q less place in p
-            if e:
-                i = max(far.get(d, -2) + 1, far.get(d - 1, -2), far.get(d + 1, -2) + 1)
-                if i < 0:
-                    continue
-            else:
-                i = 0
-            i = min(i, end_p, end_q - d)
-            j = i + d
-            if j < 0:
-                continue
-            while i < end_p and j < end_q and p[i] == q[j]:
-                i += 1
-                j += 1
-            new[d] = i
-        if new.get(goal, -1) >= end_p:
-            return True
-        # Diagonals from which the goal can't be reached with the edits left are outside the band.
-        far = {d: i for d, i in new.items() if abs(goal - d) <= most - e}
-    return False
+    return aligned_within(x.tolist(), y.tolist(), most)
+
+
+def aligned_within(x: list[int], y: list[int], most: int) -> bool:
+    """The band itself: neither side empty, lengths at most `most` apart.
+
+    In column j bit t stands for row j - most + t. The cost is followed along the
+    band's lowest diagonal up to the last row, then along that row.
+    """
+    rows, columns, width = len(x), len(y), 2 * most + 1
+    places: dict[int, int] = {}
+    for i, w in enumerate(x):
+        places[w] = places.get(w, 0) | 1 << i
+    full, low = (1 << width) - 1, 1 << width - 1
+    rise, fall = (1 << most + 1) - 1 << most, 0  # between each row and the one above
+    cost, bend = min(rows, most), max(0, rows - most)
+    for j in range(columns):
+        hit = places.get(y[j], 0)
+        hit = (hit >> j - most if j >= most else hit << most - j) & full
+        same = (((hit & rise) + rise) ^ rise | hit | fall) & full
+        right, left = fall | full & ~(same | rise), same & rise  # up or down against the column before
+        if j < bend:
+            cost += not same & low
+            if cost > most + columns - bend:
+                return False
+        else:
+            last = rows - j - 1 + most
+            cost += (right >> last & 1) - (left >> last & 1)
+            if cost - (columns - j - 1) > most:
+                return False
+        down = same >> 1
+        rise, fall = left | full & ~(down | right), down & right
+    return cost <= most
 
 
 def most_edits(longer: int, similarity: float) -> int:
@@ -230,7 +240,12 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [similar(x or "", y or "", similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            seen: dict[str, np.ndarray] = {}
+            words = lambda t: seen[t] if t in seen else seen.setdefault(t, word_hashes(plain(t)))  # noqa: B023, E731
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = words(x or ""), words(y or "")
+                keep.append(edits_within(x, y, most_edits(max(len(x), len(y)), similarity)))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     kind = dict(pairs.dtypes)["a"]
@@ -263,67 +278,116 @@ def ordered_pairs(df: DataFrame, a: Column, b: Column) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a != b").distinct()
 
 
-def not_ruled_out(x: pd.DataFrame, y: pd.DataFrame | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places in x and y (None: x with itself) of pairs of two labels whose lengths and word histograms allow a link.
+class Block:
+    """Nodes that meet: part p with part q. Rows as crowds() makes them, after key, cls, p, q."""
+
+    def __init__(self, place: tuple, rows: list[tuple], similarity: float):
+        (self.key, _, self.p, self.q), self.rows, self.similarity = place, rows, similarity
+        self.ids, self.labels, self.parts, own, n, bins, two = zip(*(r[:7] for r in rows), strict=True)
+        _, self.label = np.unique(np.array(self.labels, dtype=object).astype(str), return_inverse=True)
+        self.part, self.own, self.n = np.array(self.parts), np.array(own), np.array(n, dtype=np.int64)
+        self.bins = np.frombuffer(b"".join(bins), np.uint8).reshape(-1, BINS).astype(np.int16)
+        self.few = self.bins.reshape(len(rows), -1, 8).sum(2, dtype=np.int16)  # a first, looser bound
+        self.two, self.words = two, {}
+
+    def not_ruled_out(self) -> Iterator[tuple[int, int]]:
+        """Pairs of two labels whose lengths and word histograms allow a link; one at least is of the block's own class of length."""
+        x, y = (np.flatnonzero(self.part == side) for side in (self.p, self.q))
+        step = max(1, AT_ONCE // max(1, len(y)))
+        for at in range(0, len(x), step):
+            i, j = x[at : at + step, None], y[None, :]
+            most = (np.maximum(self.n[i], self.n[j]) * (1 - self.similarity) + 1e-9).astype(np.int64)
+            ok = (np.abs(self.n[i] - self.n[j]) <= most) & (self.label[i] != self.label[j]) & (self.own[i] | self.own[j])
+            if self.p == self.q:
+                ok &= i < j
+            p, q = np.nonzero(ok)
+            most, p, q = most[p, q], x[at + p], y[q]
+            for held in (self.few, self.bins):
+                keep = np.abs(held[p] - held[q]).sum(1, dtype=np.int64) <= 2 * most
+                p, q, most = p[keep], q[keep], most[keep]
+            yield from zip(p.tolist(), q.tolist(), strict=True)
+
+    def words_of(self, i: int) -> np.ndarray:
+        if i not in self.words:
+            self.words[i] = word_hashes(plain(self.rows[i][7] or ""))
+        return self.words[i]
+
+    def links(self) -> Iterator[tuple]:
+        """Links of pairs that have no earlier band in common: those meet there. What is linked here on the way isn't compared again."""
+        root = list(range(int(self.label.max()) + 1))
+
+        def find(a: int) -> int:
+            while root[a] != a:
+                root[a] = a = root[root[a]]
+            return a
+
+        for i, j in self.not_ruled_out():
+            a, b = find(self.label[i]), find(self.label[j])
+            if a == b or next((u for u, v in zip(self.two[i], self.two[j], strict=False) if u == v), self.key) != self.key:
+                continue
+            x, y = self.words_of(i), self.words_of(j)
+            if edits_within(x, y, most_edits(max(len(x), len(y)), self.similarity)):
+                root[a] = b
+                yield min(self.ids[i], self.ids[j]), max(self.ids[i], self.ids[j])
 
-    Of two rows one at least is of the block's own class of length.
-    """
-    z = x if y is None else y
-    one, two = (np.frombuffer(b"".join(df["bins"]), np.uint8).reshape(-1, BINS).astype(np.int16) for df in (x, z))
-    few_one, few_two = (b.reshape(len(b), -1, 8).sum(2, dtype=np.int16) for b in (one, two))  # a first, looser bound
-    found = [], []
-    rows = max(1, AT_ONCE // max(1, len(z)))
-    at = np.arange(len(z))
-    for start in range(0, len(x), rows):
-        part = x.iloc[start : start + rows]
-        n, m = part["n"].to_numpy()[:, None], z["n"].to_numpy()[None, :]
-        most = (np.maximum(n, m) * (1 - similarity) + 1e-9).astype(np.int64)
-        ok = (np.abs(n - m) <= most) & (part["label"].to_numpy()[:, None] != z["label"].to_numpy()[None, :])
-        ok &= part["own"].to_numpy()[:, None] | z["own"].to_numpy()[None, :]
-        if y is None:
-            ok &= at[None, :] > start + np.arange(len(part))[:, None]
-        i, j = np.nonzero(ok)
-        for a, b in ((few_one, few_two), (one, two)):
-            keep = np.abs(a[i + start] - b[j]).sum(1, dtype=np.int64) <= 2 * most[i, j]
-            i, j = i[keep], j[keep]
-        found[0].append(i + start)
-        found[1].append(j)
-    return tuple(np.concatenate(f) if f else np.zeros(0, np.int64) for f in found)
-
-
-def across(crowd: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b) of two labels within a group that lengths and histograms don't rule out. crowd: key, id, label.
-
-    A group's nodes meet by class of length, each class with itself and with the next
-    shorter one. Nodes of the largest component, which needn't meet each other, and the
-    rest are dealt into parts of about SIDE; a part of the rest meets all other parts.
+
+def crowds(told: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join all nodes of a group (told: key, id, label) that are linked to one of another label.
+
+    A group within SIDE nodes and WORDS_OF_SIDE words is one block. Nodes of a larger
+    one meet by class of length, each class with itself and with the next shorter one;
+    those of the largest component, which needn't meet each other, and the rest are
+    dealt into parts, and a part of the rest meets all other parts.
     """
-    counted = crowd.groupBy("key", "label").agg(F.count("*").alias("n"))
-    main = counted.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    held = told.join(nodes.select("id", "n", "bins", "two"), "id")
+    sums = held.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    sums = sums.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("c"), F.sum("w").alias("w"))
+    held = held.join(sums.select("key", "main", ((F.col("c") > SIDE) | (F.col("w") > WORDS_OF_SIDE)).alias("big")), "key")
+    columns = ("key", "cls", "p", "q", "id", "label", "part", "own", "n", "bins", "two")
+    zero = F.lit(0)
+    small = held.where("not big").select("key", zero.alias("cls"), zero.alias("p"), zero.alias("q"), "id", "label", zero.alias("part"), F.lit(True).alias("own"), "n", "bins", "two")
+
     wide = math.log(1.01 / similarity) if similarity > 0 else math.inf
-    held = crowd.join(main, "key").join(nodes.select("id", "n", "bins"), "id").withColumn("rest", F.col("label") != F.col("main"))
-    held = held.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / wide).cast("int"))
-    held = held.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("cls", F.when(F.col("own"), F.col("cls")).otherwise(F.col("cls") + 1))
-    cells = held.groupBy("key", "cls").agg(F.count_if("own").alias("owns"), F.count_if("rest").alias("r"), F.count_if(~F.col("rest")).alias("m"))
-    parts = lambda c: F.ceil(F.col(c) / SIDE).cast("int")
-    cells = cells.where("owns > 0 and r > 0 and r + m > 1").select("key", "cls", parts("r").alias("r"), parts("m").alias("m"))
-    held = held.join(cells, ["key", "cls"]).withColumn("part", F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("r")).otherwise(F.col("m"))).cast("int"))
+    big = held.where("big").withColumn("rest", F.col("label") != F.col("main"))
+    big = big.withColumn("cls", F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / wide).cast("int"))
+    big = big.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("cls", F.when(F.col("own"), F.col("cls")).otherwise(F.col("cls") + 1))
+    parts = lambda side: F.greatest(F.ceil(F.count_if(side) / SIDE), F.ceil(F.coalesce(F.sum(F.when(side, F.col("n"))), zero) / WORDS_OF_SIDE)).cast("int")
+    cells = big.groupBy("key", "cls").agg(F.count_if("own").alias("owns"), F.count("*").alias("c"), parts(F.col("rest")).alias("r"), parts(~F.col("rest")).alias("m"))
+    big = big.join(cells.where("owns > 0 and r > 0 and c > 1").drop("owns", "c"), ["key", "cls"])
     # Parts of the rest are 0..r-1, those of the main component r..r+m-1; a block is a part of the rest and a part from it on.
-    held = held.withColumn("part", F.when(F.col("rest"), F.col("part")).otherwise(F.col("part") + F.col("r")))
-    others = F.when(F.col("rest"), F.sequence(F.lit(0), F.col("r") + F.col("m") - 1)).otherwise(F.sequence(F.lit(0), F.col("r") - 1))
-    held = held.withColumn("other", F.explode(others)).withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
+    part = F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("r")).otherwise(F.col("m"))).cast("int")
+    big = big.withColumn("part", F.when(F.col("rest"), part).otherwise(part + F.col("r")))
+    others = F.when(F.col("rest"), F.sequence(zero, F.col("r") + F.col("m") - 1)).otherwise(F.sequence(zero, F.col("r") - 1))
+    big = big.withColumn("other", F.explode(others)).withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
+
+    blocks = small.unionByName(big.select(*columns))
+    holds = membership(told.select(F.xxhash64("id").alias("h")).distinct())
+    texts = docs.where(holds(F.xxhash64("doc_id"))).groupBy(F.col("doc_id").alias("id"), F.xxhash64("text").alias("_h")).agg(F.first("text").alias("text"))
+    blocks = blocks.join(texts.drop("_h"), "id").select(*columns, "text")
+    place = ("key", "cls", "p", "q")
+    blocks = blocks.repartition(*place).sortWithinPartitions(*place, "part", "id")
     kind = dict(nodes.dtypes)["id"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        same = pdf["p"].iloc[0] == pdf["q"].iloc[0]
-        x = pdf if same else pdf[pdf["part"] == pdf["p"]]
-        y = x if same else pdf[pdf["part"] == pdf["q"]]
-        i, j = not_ruled_out(x, None if same else y, similarity) if len(x) and len(y) else (np.zeros(0, np.int64),) * 2
-        return pd.DataFrame({"a": x["id"].to_numpy()[i], "b": y["id"].to_numpy()[j]})
-
-    blocks = held.select("key", "cls", "p", "q", "part", "id", "label", "own", "n", "bins")
-    met = bounded(blocks).groupBy("key", "cls", "p", "q").applyInPandas(run, f"a {kind}, b {kind}")
-    return ordered_pairs(met, F.col("a"), F.col("b"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, now, rows = [], None, []
+        schema = None
+        for batch in batches:
+            schema = schema or pa.schema([("a", batch.schema.field("id").type), ("b", batch.schema.field("id").type)])
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r[:4] != now:
+                    if rows:
+                        found += Block(now, rows, similarity).links()
+                    now, rows = r[:4], []
+                rows.append(r[4:])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+                found = []
+        if rows:
+            found += Block(now, rows, similarity).links()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+
+    return bounded(blocks).mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def near_classes(docs: DataFrame, *, similarity: float = SIMILARITY, most: int = MOST) -> DataFrame:
@@ -351,16 +415,10 @@ def near_classes(docs: DataFrame, *, similarity: float = SIMILARITY, most: int =
     links = staged(verified(first, nodes, docs, similarity), "links")
     label = components(links)
 
-    told = groups.where("size > 2").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    told = groups.where("size > 2").select("key", "id").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     open_ = told.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    told = staged(told.join(open_, "key").select("key", "id", "label", "many"), "told")
-    x = told.where("not many").select("key", F.col("id").alias("x"), F.col("label").alias("x_label"))
-    y = told.where("not many").select("key", F.col("id").alias("y"), F.col("label").alias("y_label"))
-    small = ordered_pairs(x.join(y, "key").where("x < y and x_label != y_label"), F.col("x"), F.col("y"))
-    large = across(told.where("many").select("key", "id", "label"), nodes, similarity)
-    second = small.unionByName(large).distinct().join(first, ["a", "b"], "left_anti")
-    more = verified(second, nodes, docs, similarity)
-    label = components(staged(links.unionByName(more), "links"))
+    told = staged(told.join(open_, "key").select("key", "id", "label"), "told")
+    label = components(staged(links.unionByName(crowds(told, nodes, docs, similarity)), "links"))
 
     classes = nodes.select("d1", "d2", "id").join(label, "id", "left").select("d1", "d2", F.coalesce("label", "id").alias("class_id"))
     out = sketches.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"], "left")
