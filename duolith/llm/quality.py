@@ -94,15 +94,19 @@ def train(texts: list[str], labels: list[int], *, passes: int = 4, seed: int = 7
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """h, text, quality of at most MOST_ROWS rows of each label outside the held-out fold, chosen by a hash of the id."""
+    """h, text, quality of at most MOST_ROWS rows of each label outside the held-out fold, chosen by a hash of the id.
+
+    Of rows with one id the least text counts.
+    """
     known = labels.where("doc_id is not null and quality in (0, 1)").where(crc_of_id(F.col("doc_id")) % 5 != 0).select("doc_id", "quality")
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("quality").alias("_other")).where("quality = _other")
     picked = None
     for y in (0, 1):
         some = known.where(F.col("quality") == y).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_ROWS)
         picked = some if picked is None else picked.unionByName(some)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * MOST_ROWS ids
-    return rows.select(F.xxhash64("doc_id").alias("h"), F.coalesce("text", F.lit("")).alias("text"), "quality")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")  # at most 2 * MOST_ROWS ids
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    return rows.select(F.xxhash64("doc_id").alias("h"), "text", "quality")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
@@ -144,14 +148,19 @@ def classify(docs: DataFrame, labels: DataFrame, train_on: DataFrame | None = No
     Returns doc_id, held_out, score, predicted (1: good). Training texts come from
     train_on (docs, if not given). Null and empty texts get the score of the bias;
     without labels every score is 0.5; ids with contradicting labels teach nothing;
-    repeated rows stay; an empty table gives an empty table; other columns are not
-    read.
+    repeated rows stay; a score equal to the threshold is good; an empty table gives
+    an empty table; other columns are not read.
     """
     return score(docs, fit(train_on if train_on is not None else docs, labels))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, train_on: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that the classifier doesn't reject."""
+    """The rows of docs, with all their columns, that the classifier doesn't reject.
+
+    Null and empty texts get the score of the bias, like in classify; repeated rows
+    stay or go together; a score equal to the threshold stays; an empty table gives
+    an empty table.
+    """
     weights = docs.sparkSession.sparkContext.broadcast(fit(train_on, labels))
 
     def run(batches):
