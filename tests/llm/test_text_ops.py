@@ -34,6 +34,15 @@ PAGES = [
     ("", ""),
     ("plain", "plain"),
     ("<table><tr>stray<td>x</table>", "stray\nx"),
+    ("<style>@media print{.x{display:none}} @media screen and (max-width:600px){p{display:none}}</style><p class=x>shown", "shown"),
+    ("<style>@media screen{.x{display:none}}.y{display:none}.y{display:block}#z{display:inline}.z{display:none}</style><p class=x>gone<p class=y>on<p id=z class=z>id", "on\n\nid"),
+    ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b>c</div>", "b"),
+    ("<div style='display:none'><b style='display:block;visibility:visible'>b</b></div>x", "x"),
+    ("<table><tr><td rowspan=2>A<td>b<tr><td>c</table>", "A  b\n   c"),
+    ("<table><tr><th colspan=2>long heading<th>n<tr><td>a<td>b<td>1<tr><td rowspan=0>d<td>e</table>", "long heading  n\na  b          1\nd  e"),
+    ("<a title='x > y'>t</a><a b=\">u</a>", "tu"),
+    ("1 < 2 <b", "1 < 2 <b"),
+    ("<svg><title>no</title><text>in a drawing</text><path d='M0'/></svg><math><mi>x</mi></math><dialog>no</dialog>", "in a drawing x"),
 ]
 
 
@@ -51,6 +60,62 @@ def test_deep_and_broken_html_loses_no_text():
         html_text.visible_text("".join(dice.choice(bits) for _ in range(40)))
 
 
+@pytest.mark.parametrize("bit", ["<a ", "<a b='", "<a =\">\" ", "<!-", "<", "<p", "<table>", "&", "<style>{"])
+def test_time_is_linear_in_broken_pages(bit):
+    import time
+
+    began = time.process_time()
+    html_text.visible_text(bit * (300_000 // len(bit)))
+    assert time.process_time() - began < 5
+
+
+def page(dice, words, depth=0, seen=True, shown=True):
+    """A random page and the words of it that show, by a direct reading of the rules."""
+    parts, out = [], []
+    for _ in range(dice.randint(1, 4)):
+        kind = dice.choice(["text", "text", "text", "block", "inline", "none", "hidden", "visible", "list", "table", "comment", "script"])
+        if kind == "text" or depth > 4:
+            w = f"w{next(words)}"
+            parts.append(f" {w} ")
+            out += [w] * (seen and shown)
+        elif kind in ("comment", "script"):
+            parts.append(f"<!-- x{next(words)} -->" if kind == "comment" else f"<script>var x = '</p>{next(words)}'</script>")
+        else:
+            inside = lambda s=seen, sh=shown: page(dice, words, depth + 1, s, sh)
+            if kind == "block":
+                h, o = inside()
+                t = dice.choice(["div", "section", "blockquote", "h2"])
+                h = f"<{t}>{h}</{t}>"
+            elif kind == "inline":
+                h, o = inside()
+                h = f"<b>{h}</b>"
+            elif kind == "none":
+                h, o = inside(sh=False)
+                h = dice.choice(["<div hidden>{}</div>", "<div class=no>{}</div>", "<div style='display:none'>{}</div>"]).format(h)
+            elif kind in ("hidden", "visible"):
+                h, o = inside(s=kind == "visible")
+                h = f"<div style='visibility: {kind}'>{h}</div>"
+            else:
+                each = [inside() for _ in range(dice.randint(1, 3))]
+                o = [w for _, ws in each for w in ws]
+                close = dice.random() < 0.5
+                tag = "li" if kind == "list" else "td"
+                h = "".join(f"<{tag}>{x}" + f"</{tag}>" * close for x, _ in each)
+                h = f"<ul>{h}</ul>" if kind == "list" else "<table>" + h.replace("<td>", "<tr><td>") + "</table>" if depth == 0 else f"<ul>{h.replace('td>', 'li>')}</ul>"
+            parts.append(h)
+            out += o
+    return "".join(parts), out
+
+
+def test_visible_words_equal_a_direct_reading():
+    import itertools
+
+    for seed in range(400):
+        html, want = page(random.Random(seed), itertools.count())
+        got = html_text.visible_text("<style>.no { display: none }</style>" + html)
+        assert [w for w in got.split() if w.startswith("w")] == want, (seed, html)
+
+
 def test_extract_pages(spark):
     df = spark.createDataFrame([(1, "<p>a", "x"), (2, None, "y"), (2, None, "y")], "page_id bigint, html string, text string")
     assert sorted((r.page_id, r.text, r.n_lines) for r in html_text.extract(df).collect()) == [(1, "a", 1), (2, "", 0), (2, "", 0)]
