@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import zlib
 from collections.abc import Callable
@@ -134,41 +135,192 @@ def jpeg(b: bytes, at: int) -> Medium | None:
     return None
 
 
+def _crc_table(width: int, poly: int) -> list[int]:
+    top, full, out = 1 << width - 1, (1 << width) - 1, []
+    for v in range(256):
+        v <<= width - 8
+        for _ in range(8):
+            v = (v << 1 ^ poly) & full if v & top else v << 1 & full
+        out.append(v)
+    return out
+
+
+CRC8, CRC16 = _crc_table(8, 0x07), _crc_table(16, 0x8005)
+
+
+def crc8(b: bytes) -> int:
+    v = 0
+    for c in b:
+        v = CRC8[v ^ c]
+    return v
+
+
+def crc16(b: bytes) -> int:
+    v = 0
+    for c in b:
+        v = (v << 8 & 0xFF00) ^ CRC16[v >> 8 ^ c]
+    return v
+
+
+class Bits:
+    """Reads bits of a stretch of bytes; IndexError where it ends."""
+
+    def __init__(self, b: bytes):
+        self.told, self.at = bin(int.from_bytes(b"\1" + b, "big"))[3:], 0
+
+    def skip(self, n: int) -> None:
+        self.at += n
+        if self.at > len(self.told):
+            raise IndexError
+
+    def read(self, n: int) -> int:
+        self.skip(n)
+        return int(self.told[self.at - n : self.at] or "0", 2)
+
+    def unary(self) -> int:
+        one = self.told.find("1", self.at)
+        if one < 0:
+            raise IndexError
+        n, self.at = one - self.at, one + 1
+        return n
+
+
+#: Block sizes and sample sizes by their codes in a frame's head.
+FLAC_BLOCKS = {1: 192, 2: 576, 3: 1152, 4: 2304, 5: 4608} | {c: 256 << c - 8 for c in range(8, 16)}
+FLAC_SIZES = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
+
+
+def flac_frame(b: bytes, at: int, sample_size: int) -> tuple[int, int] | None:
+    """End and samples of the FLAC frame at a place: its head's checksum, each channel's coded samples, the frame's checksum."""
+    if at + 6 > len(b) or b[at] != 0xFF or b[at + 1] & 0xFE != 0xF8:
+        return None
+    block, rate, channels, size = b[at + 2] >> 4, b[at + 2] & 15, b[at + 3] >> 4, b[at + 3] >> 1 & 7
+    number = b[at + 4]
+    more = 0 if number < 0x80 else f"{number:08b}".index("0") - 1 if number != 0xFF else -2
+    place = at + 5 + more
+    if block == 0 or rate == 15 or channels > 10 or size == 3 or b[at + 3] & 1 or more < 0 or number >= 0x80 and more == 0 or place + 6 > len(b):
+        return None
+    n = int.from_bytes(b[place : place + block - 5], "big") + 1 if block in (6, 7) else FLAC_BLOCKS[block]
+    place += {6: 1, 7: 2}.get(block, 0) + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if place >= len(b) or crc8(b[at:place]) != b[place]:
+        return None
+    place, depth = place + 1, FLAC_SIZES.get(size, sample_size)
+    room = 1 << 14
+    while True:
+        try:
+            bits = Bits(b[place : place + room])
+            for channel in range(channels + 1 if channels < 8 else 2):
+                side = channels in (8, 10) and channel == 1 or channels == 9 and channel == 0
+                if not flac_channel(bits, n, depth + side):
+                    return None
+            end = place + -(-bits.at // 8) + 2
+            return (end, n) if end <= len(b) and crc16(b[at : end - 2]) == int.from_bytes(b[end - 2 : end], "big") else None
+        except IndexError:
+            if place + room >= len(b):
+                return None
+            room *= 4
+
+
+def flac_channel(bits: Bits, n: int, depth: int) -> bool:
+    """Passes over one channel's samples; false where its code is none."""
+    if bits.read(1):
+        return False
+    kind = bits.read(6)
+    if bits.read(1):
+        depth -= bits.unary() + 1
+    if depth <= 0:
+        return False
+    if kind < 2:
+        bits.skip(depth if kind == 0 else depth * n)
+        return True
+    order = kind - 8 if 8 <= kind <= 12 else kind - 31 if kind >= 32 else -1
+    if order < 0 or order > n:
+        return False
+    bits.skip(depth * order)
+    if kind >= 32:
+        precision = bits.read(4) + 1
+        bits.skip(5 + precision * order)
+        if precision == 16:
+            return False
+    method, parts = bits.read(2), 1 << bits.read(4)
+    if method > 1 or n % parts or n // parts < order:
+        return False
+    wide = 4 + method
+    for part in range(parts):
+        count, rice = n // parts - (order if part == 0 else 0), bits.read(wide)
+        if rice == (1 << wide) - 1:
+            bits.skip(bits.read(5) * count)
+        else:
+            for _ in range(count):
+                bits.unary()
+                bits.skip(rice)
+    return True
+
+
 def flac(b: bytes, at: int) -> Medium | None:
-    """FLAC: metadata blocks by their lengths, stream info first, then a frame's sync code; it lasts to the end."""
-    place, first = at + 4, True
+    """FLAC: metadata blocks by their lengths, stream info first, then frames, up to the stream's samples or the last whole frame."""
+    place, info = at + 4, b""
     while place + 4 <= len(b):
         head, n = b[place], int.from_bytes(b[place + 1 : place + 4], "big")
-        if first and (head & 127 or n != 34):
+        if not info and (head & 127 or n != 34) or place + 4 + n > len(b):
             return None
-        place, first = place + 4 + n, False
+        info, place = info or b[place + 4 : place + 38], place + 4 + n
         if head & 128:
-            return Medium("audio/flac", at, len(b), (place, len(b))) if b[place : place + 1] == b"\xff" and b[place + 1 : place + 2] in (b"\xf8", b"\xf9") else None
-    return None
+            break
+    else:
+        return None
+    told = int.from_bytes(info[10:18], "big")
+    size, samples = (told >> 36 & 31) + 1, told & (1 << 36) - 1
+    first, seen = place, 0
+    while (not samples or seen < samples) and (found := flac_frame(b, place, size)):
+        place, seen = found[0], seen + found[1]
+    return Medium("audio/flac", at, place, (first, place)) if place > first and seen >= samples else None
 
 
-def pdf(b: bytes, at: int) -> Medium | None:
-    """PDF: a version, and an end mark whose startxref points at a table or stream object."""
-    end = b.rfind(b"%%EOF", at)
-    told = b.rfind(b"startxref", at, end) if end > 0 else -1
-    if told < 0 or not b[at + 5 : at + 6].isdigit():
-        return None
-    number = b[told + 9 : end].strip()
-    if not number.isdigit() or at + int(number) >= told:
-        return None
-    place = at + int(number)
-    return Medium("application/pdf", at, end + 5, (at, end + 5)) if b[place : place + 4] == b"xref" or b" obj" in b[place : place + 24] else None
-
-
-def zipped(b: bytes, at: int) -> Medium | None:
-    """ZIP: an end record whose directory has the offset, length and count that it says."""
-    end = at
-    while (end := b.find(b"PK\5\6", end)) >= 0 and end + 22 <= len(b):
-        count, size, start, note = struct.unpack_from("<HIIH", b, end + 10)
-        if at + start + size == end and end + 22 + note <= len(b) and (not count or b[at + start : at + start + 4] == b"PK\1\2"):
-            return Medium("application/zip", at, end + 22 + note, (at, end))
-        end += 4
-    return None
+PDF_MARK = re.compile(rb"%PDF-\d|startxref\s+(\d{1,18})\s+%%EOF|(?<!start)xref")
+
+
+def pdf_ends(b: bytes) -> dict[int, int]:
+    """Ends of the PDFs of a byte string by their places, in one pass.
+
+    A section's startxref must point, counted from the head, at a table or stream
+    object. It belongs to the innermost open head, else to the one from which it
+    points at the table last seen; later sections of the same head are its updates.
+    """
+    ends: dict[int, int] = {}
+    open_: list[int] = []
+    waiting: set[int] = set()
+    table = last = -1
+    is_table = lambda at: at >= 0 and (b.startswith(b"xref", at) or b" obj" in b[at : at + 24] and b[at : at + 1].isdigit())
+    for m in PDF_MARK.finditer(b):
+        if m[0].startswith(b"%PDF-"):
+            open_.append(m.start())
+            waiting.add(m.start())
+        elif m[0] == b"xref":
+            table = m.start()
+        else:
+            to = int(m[1])
+            while open_ and open_[-1] not in waiting:
+                open_.pop()
+            inner = open_[-1] if open_ else -1
+            for head in (inner, last, table - to):
+                if head >= 0 and head + to < m.start() and is_table(head + to) and (head in waiting or head == last and head + to >= ends[last]):
+                    waiting.discard(head)
+                    ends[head], last = m.end(), head
+                    break
+    return ends
+
+
+def zip_ends(b: bytes) -> dict[int, int]:
+    """Ends of the ZIP archives of a byte string by their places: an end record says where its archive begins."""
+    ends: dict[int, int] = {}
+    at = -1
+    while (at := b.find(b"PK\5\6", at + 1)) >= 0 and at + 22 <= len(b):
+        count, size, start, note = struct.unpack_from("<HIIH", b, at + 10)
+        base = at - size - start
+        if base >= 0 and at + 22 + note <= len(b) and (not count or b[base + start : base + start + 4] == b"PK\1\2"):
+            ends.setdefault(base, at + 22 + note)
+    return ends
 
 
 Validator = Callable[[bytes, int], Medium | None]
@@ -181,15 +333,15 @@ SIGNATURES: dict[bytes, Validator] = {
     b"BM": bmp,
     b"\xff\xd8\xff": jpeg,
     b"fLaC": flac,
-    b"%PDF-": pdf,
-    b"PK\3\4": zipped,
 }
+#: Formats that end with a record: one pass finds all ends. The record points back, so each is found by its start.
+ENDED: dict[bytes, tuple[str, Callable[[bytes], dict[int, int]]]] = {b"%PDF-": ("application/pdf", pdf_ends), b"PK\3\4": ("application/zip", zip_ends)}
 
 
 def _automaton() -> ahocorasick.Automaton:
     made = ahocorasick.Automaton()
-    for magic, check in SIGNATURES.items():
-        made.add_word(magic.decode("latin-1"), (len(magic), check))
+    for magic in (*SIGNATURES, *ENDED):
+        made.add_word(magic.decode("latin-1"), magic)
     made.make_automaton()
     return made
 
@@ -203,14 +355,24 @@ def sniff(b: bytes) -> tuple[Medium | None, list[Medium]]:
     Media inside an embedded medium belong to it and are not listed again.
     """
     whole, inner, after = None, [], 0
-    for end, (n, check) in FINDER.iter(b.decode("latin-1")):
-        at = end + 1 - n
-        if (at == 0 or at >= after) and (found := check(b, at)):
-            if at == 0:
-                whole = found
-            else:
-                inner.append(found)
-                after = found.end
+    ends: dict[bytes, dict[int, int]] = {}
+    for last, magic in FINDER.iter(b.decode("latin-1")):
+        at = last + 1 - len(magic)
+        if at and at < after:
+            continue
+        if magic in ENDED:
+            kind, find = ENDED[magic]
+            if magic not in ends:
+                ends[magic] = find(b)
+            end = ends[magic].get(at)
+            found = Medium(kind, at, end, (at, end)) if end else None
+        else:
+            found = SIGNATURES[magic](b, at)
+        if found and at == 0:
+            whole = found
+        elif found:
+            inner.append(found)
+            after = found.end
     return whole, inner
 
 

@@ -204,6 +204,54 @@ def test_media_are_sniffed_and_carved(spark):
     assert media.carve(rows[2][2]) == [("image/png", PNG), ("image/gif", GIF), ("audio/wav", media.wave(b"abc"))]
 
 
+def pdf(body=b"", extra=b""):
+    head = b"%PDF-1.4\n" + body
+    return head + b"xref\n0 0\ntrailer\n<<>>\nstartxref\n%d\n%%%%EOF" % len(head) + extra
+
+
+def flac_stream(blocks, total):
+    """Frames of one 8-bit channel: constant, verbatim, or Rice-coded differences."""
+    out = b"fLaC\x80\0\0\x22" + b"\0\x10" * 2 + b"\0" * 6 + ((8000 << 44) | (0 << 41) | (7 << 36) | total).to_bytes(8, "big") + b"\0" * 16
+    for i, (kind, xs) in enumerate(blocks):
+        head = bytes([0xFF, 0xF8, 0x60, 0x02, i, len(xs) - 1])
+        head += bytes([media.crc8(head)])
+        u = lambda v, n: f"{v & (1 << n) - 1:0{n}b}"
+        bits = {"constant": "0" + u(0, 6) + "0" + u(xs[0], 8), "verbatim": "0" + u(1, 6) + "0" + "".join(u(x, 8) for x in xs)}.get(kind)
+        if bits is None:
+            bits = "0" + u(9, 6) + "0" + u(xs[0], 8) + u(0, 2) + u(0, 4) + u(2, 4)
+            for a, b in zip(xs, xs[1:], strict=False):
+                folded = 2 * (b - a) if b >= a else 2 * (a - b) - 1
+                bits += "0" * (folded >> 2) + "1" + u(folded, 2)
+        bits += "0" * (-len(bits) % 8)
+        frame = head + int(bits, 2).to_bytes(len(bits) // 8, "big")
+        out += frame + media.crc16(frame).to_bytes(2, "big")
+    return out
+
+
+def test_media_end_where_their_structure_says():
+    two = pdf(b"1 0 obj\n") + b"junk in between" + pdf()
+    assert [x for _, x in media.carve(b"?" + two)] == [pdf(b"1 0 obj\n"), pdf()]
+    updated = pdf()
+    updated += b"\nxref\n/Prev\nstartxref\n%d\n%%%%EOF" % (len(updated) + 1)
+    assert [x for _, x in media.carve(b"?" + updated + PNG)] == [updated, PNG]
+    assert media.carve(b"?" + pdf(pdf())) == [("application/pdf", pdf(pdf()))]
+    frames = [("rice", [0, 3, -5, 7, 100, -100, 0, 1]), ("constant", [5] * 16), ("verbatim", list(range(-8, 8)))]
+    whole = flac_stream(frames, 40)
+    assert media.carve(b"?" + whole + b"other data" + PNG) == [("audio/flac", whole), ("image/png", PNG)]
+    assert media.carve(b"?" + flac_stream(frames, 0) + b"\xff\xf8data") == [("audio/flac", flac_stream(frames, 0))]
+    assert media.carve(b"?" + flac_stream(frames, 41) + b"x" * 30) == []
+    assert media.carve(b"?" + whole[:-1] + b"?") == []
+
+
+@pytest.mark.parametrize("bit", [b"%PDF-1", b"%PDF-1 startxref 5 %%EOF", b"PK\3\4", b"PK\3\4PK\5\6" + b"\0" * 18, b"\xff\xd8\xff", b"RIFF", b"fLaC", b"BM"])
+def test_sniffing_is_linear(bit):
+    import time
+
+    began = time.process_time()
+    media.sniff(b"?" + bit * (400_000 // len(bit)))
+    assert time.process_time() - began < 5
+
+
 @pytest.mark.parametrize("cut", range(0, len(PNG), 7))
 def test_broken_media_count_for_nothing(cut):
     assert media.sniff(PNG[:cut] + b"?" + PNG[cut + 1 :])[0] is None
