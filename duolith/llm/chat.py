@@ -5,12 +5,16 @@ the turns up to each one and comparing consecutive outputs shows what a turn
 adds; where an output does not begin with the one before, the template rewrites
 history. Rendering a turn with two different probe texts in its place shows what
 the template puts before and after the text, hence the text's own span.
+
+Every prefix is rendered whole, so a conversation takes time in the square of its
+length. A template may claim to write each turn without regard to the others; then
+a prefix is the one before and the turn alone, and the claim is checked at each
+turn against the rendering of a window of turns before it.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -25,8 +29,8 @@ from duolith.llm.common import bounded
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
-#: Turns that a turn-local template sees at most, and those it still sees when older ones are let go.
-MOST_TURNS, KEPT_TURNS = 64, 8
+#: Turns before each one with which a template's claim is checked.
+CHECKED_TURNS = 8
 
 
 def escaped(text: str) -> str:
@@ -77,51 +81,61 @@ def frame(render: Template, before: list[Turn], role: str, after: list[Turn] = (
     return head, common_prefix(one[::-1], two[::-1])
 
 
+class ChatFormat(NamedTuple):
+    """A template with what reads its output back: turns, and the plain text of a span."""
+
+    render: Template
+    read: Callable[[str], list[Turn]]
+    plain: Callable[[str], str]
+    alone: bool = False  # the claim that it writes each turn without regard to the others
+
+
+INSTRUCTIONS = ChatFormat(instruction_template, read_turns, unescaped, alone=True)
+
+
 class Span(NamedTuple):
-    added: str  # what the turn adds to the output, or the whole output where history is rewritten
+    added: str  # what the turn adds to the output
     start: int  # its text within that
     end: int
-    rewrites: bool
+    rewrites: bool  # the output does not begin with the one before
 
 
 class Prefixes:
-    """Renders one prefix more with each turn.
-
-    instruction_template writes each turn without regard to the others, so old turns
-    are let go in long conversations; any other template sees all of them.
-    """
+    """Renders one prefix more with each turn; a template that claims to write turns alone keeps CHECKED_TURNS of them."""
 
-    def __init__(self, render: Template):
-        self.render, self.seen = render, []
-        self.most = MOST_TURNS if render is instruction_template else math.inf
-        self.before = render([])
+    def __init__(self, form: ChatFormat):
+        self.render, self.alone, self.seen = form.render, form.alone, []
+        self.opening = self.before = self.render([])
 
     def add(self, role: str, text: str) -> Span:
-        if len(self.seen) >= self.most:
-            self.seen = self.seen[-KEPT_TURNS:]
-            self.before = self.render(self.seen)
         out = self.render([*self.seen, (role, text)])
         head, tail = frame(self.render, self.seen, role)
         rewrites = not out.startswith(self.before)
         at = 0 if rewrites else len(self.before)
+        if self.alone and (rewrites or self.opening + out[at:] != self.render([(role, text)])):
+            raise ValueError("the template claims to write each turn alone and does not")
         self.seen.append((role, text))
         self.before = out
+        if self.alone and len(self.seen) > 2 * CHECKED_TURNS:
+            self.seen = self.seen[-CHECKED_TURNS:]
+            self.before = self.render(self.seen)
         return Span(out[at:], head - at, len(out) - tail - at, rewrites)
 
 
-def format_conversation(turns: list[Turn], render: Template = instruction_template, learn: str = "assistant") -> dict:
+def format_conversation(turns: list[Turn], render: Template | ChatFormat = INSTRUCTIONS, learn: str = "assistant") -> dict:
     """Formatted text and loss spans (start, end) of the turns whose role is `learn`.
 
     Where the template rewrites history the output is rendered once as a whole, and
     each span is found in it by probes.
     """
-    prefixes = Prefixes(render)
+    form = render if isinstance(render, ChatFormat) else ChatFormat(render, read_turns, unescaped)
+    prefixes = Prefixes(form)
     spans, parts, at = [], [prefixes.before], len(prefixes.before)
     for role, text in turns:
         s = prefixes.add(role, text)
         if s.rewrites:
-            out = render(turns)
-            spans = [(f[0], len(out) - f[1]) for i, (r, _) in enumerate(turns) if r == learn for f in [frame(render, turns[:i], r, turns[i + 1 :])]]
+            out = form.render(turns)
+            spans = [(f[0], len(out) - f[1]) for i, (r, _) in enumerate(turns) if r == learn for f in [frame(form.render, turns[:i], r, turns[i + 1 :])]]
             return {"formatted": out, "loss": spans, "rewrites_history": True}
         if role == learn:
             spans.append((at + s.start, at + s.end))
@@ -133,27 +147,46 @@ def format_conversation(turns: list[Turn], render: Template = instruction_templa
 SCHEMA = "n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, rewrites_history boolean"
 
 
+def coded(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
 class Digest:
-    """Sums of one conversation; turns come one by one."""
+    """Sums of one conversation, read back from its output; turns come one by one.
 
-    def __init__(self) -> None:
-        self.turns, self.loss, self.n, self.loss_chars, self.chars, self.rewrites = hashlib.sha256(), hashlib.sha256(), 0, 0, 0, False
-        self.prefixes = Prefixes(instruction_template)
+    Of a template that writes turns alone only the sums are held; of any other the
+    whole conversation, as its output may change with each turn.
+    """
+
+    def __init__(self, form: ChatFormat) -> None:
+        self.form, self.prefixes, self.told = form, Prefixes(form) if form.alone else None, []
+        self.turns, self.loss, self.n, self.loss_chars, self.chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+        self.chars = len(self.prefixes.opening) if form.alone else 0
 
     def add(self, role: str, text: str) -> None:
+        if self.prefixes is None:
+            self.told.append((role, text))
+            return
         s = self.prefixes.add(role, text)
-        for r, t in read_turns(s.added):
-            self.turns.update(f"{r}\n{t}\n".encode("utf-8", "surrogatepass"))
+        self.take(s.added, [(s.start, s.end)] * (role == "assistant"))
+
+    def take(self, out: str, loss: list[tuple[int, int]]) -> None:
+        for r, t in self.form.read(out):
+            self.turns.update(coded(f"{r}\n{t}\n"))
             self.n += 1
-        if role == "assistant":
-            learned = unescaped(s.added[s.start : s.end])
-            self.loss.update(learned.encode("utf-8", "surrogatepass"))
+        for a, b in loss:
+            learned = self.form.plain(out[a:b])
+            self.loss.update(coded(learned))
             self.loss_chars += len(learned)
-        self.chars += len(s.added)
-        self.rewrites |= s.rewrites
+        self.chars += len(out)
 
     def row(self) -> tuple:
-        return self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.rewrites
+        rewrites = False
+        if self.prefixes is None:
+            made = format_conversation(self.told, self.form)
+            self.take(made["formatted"], made["loss"])
+            rewrites = made["rewrites_history"]
+        return self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, rewrites
 
 
 def ordered(conversations: DataFrame) -> DataFrame:
@@ -162,15 +195,16 @@ def ordered(conversations: DataFrame) -> DataFrame:
     return c.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
-def digest_conversations(conversations: DataFrame) -> DataFrame:
+def digest_conversations(conversations: DataFrame, form: ChatFormat = INSTRUCTIONS) -> DataFrame:
     """Formats every conversation and reads it back from the output.
 
     Takes conv_id, turn, role, text; returns a row for each conv_id (null is one
     too): n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars,
     rewrites_history. A conversation's rows stream through one task in order, as a
-    digest needs; the step holds no more than MOST_TURNS of them. Null role and
-    text count as empty, repeated rows are turns of their own, an empty table gives
-    an empty table, and other columns are not read.
+    digest needs; of a form that writes turns alone the step holds a few turns, of any
+    other the conversation. Turns go by turn, then role, then text, nulls first. Null
+    role and text count as empty, repeated rows are turns of their own, an empty table
+    gives an empty table, and other columns are not read.
     """
     kind = dict(conversations.dtypes)["conv_id"]
     schema = f"conv_id {kind}, {SCHEMA}"
@@ -185,7 +219,7 @@ def digest_conversations(conversations: DataFrame) -> DataFrame:
                 if held is None or k != key:
                     if held:
                         done.append((key, *held.row()))
-                    key, held = k, Digest()
+                    key, held = k, Digest(form)
                 held.add(role, text)
             if len(done) >= 1000:
                 yield put(done)
@@ -198,11 +232,13 @@ def digest_conversations(conversations: DataFrame) -> DataFrame:
     return bounded(ordered(conversations)).mapInArrow(run, schema)
 
 
-def format_conversations(conversations: DataFrame) -> DataFrame:
+def format_conversations(conversations: DataFrame, form: ChatFormat = INSTRUCTIONS) -> DataFrame:
     """The formatted turns themselves: conv_id, turn, formatted, loss_start, loss_end (null where not learned).
 
     Offsets count from the turn's own formatted text; the conversation is its turns'
-    formatted texts joined in order. Rows and nulls as in digest_conversations.
+    formatted texts joined in order. A form that rewrites history has no such turns:
+    formatted is then null from the turn on that does so (format_conversation gives
+    the whole). Rows and nulls as in digest_conversations.
     """
     kinds = dict(conversations.dtypes)
     schema = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, formatted string, loss_start bigint, loss_end bigint"
@@ -210,14 +246,15 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = to_arrow_schema(want)
-        key, prefixes = None, None
+        key, prefixes, broken = None, None, False
         for batch in batches:
             rows = []
             for k, turn, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if prefixes is None or k != key:
-                    key, prefixes = k, Prefixes(instruction_template)
+                    key, prefixes, broken = k, Prefixes(form), False
                 s = prefixes.add(role, text)
-                rows.append((k, turn, s.added, *((s.start, s.end) if role == "assistant" else (None, None))))
+                broken |= s.rewrites
+                rows.append((k, turn, None if broken else s.added, *((s.start, s.end) if role == "assistant" and not broken else (None, None))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), types, strict=True)], schema=types)
 

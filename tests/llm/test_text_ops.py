@@ -156,6 +156,29 @@ def test_long_conversations_keep_their_whole_history():
         assert [out["formatted"][a:b] for a, b in out["loss"]] == [x for r, x in turns if r == "assistant"]
 
 
+def test_false_claims_of_a_template_are_found():
+    turns = [("user", "a"), ("assistant", "b")] * 60
+    for render in (lambda t: "".join(f"{i}<{r}>{x}" for i, (r, x) in enumerate(t)), lambda t: "".join(f"<{r}>{x if i == len(t) - 1 else ''}" for i, (r, x) in enumerate(t))):
+        with pytest.raises(ValueError, match="claims"):
+            chat.format_conversation(turns, chat.ChatFormat(render, chat.read_turns, chat.unescaped, alone=True))
+
+
+def test_digests_read_back_a_template_that_rewrites_history(spark):
+    """From turn 101 on this one writes the first turn in another way, so no turn's own output can be kept."""
+
+    def render(turns):
+        return "".join(f"<s>[{r}] {chat.escaped(x)}{'!' if len(turns) > 100 and i == 0 else ''} [/{r}]</s>\n" for i, (r, x) in enumerate(turns))
+
+    rows = [(k, i, "assistant" if i % 2 else "user", f"t{i}<") for k, n in ((1, 120), (2, 90)) for i in range(n)]
+    form = chat.ChatFormat(render, chat.read_turns, chat.unescaped)
+    got = {r.conv_id: r for r in chat.digest_conversations(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string"), form).collect()}
+    for k, n in ((1, 120), (2, 90)):
+        turns = [(r, x + "!" * (k == 1 and i == 0)) for c, i, r, x in rows if c == k]
+        learned = "".join(x for r, x in turns if r == "assistant")
+        assert (got[k].n_turns, got[k].loss_sha256, got[k].rewrites_history) == (n, hashlib.sha256(learned.encode()).hexdigest(), k == 1)
+        assert got[k].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
+
+
 def test_digests_of_conversations(spark):
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a[1]"), (1, 2, None, None), (-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]"), (None, 0, "assistant", "z")]
     rows += [(5, i, "assistant", f"t{i}") for i in range(200)]
