@@ -94,16 +94,20 @@ FILTER_BITS = 20
 def membership(wanted: DataFrame) -> Callable[[Column], Column]:
     """A test of hashes against the only column (bigint) of wanted: true for all of them, and for a share of the others.
 
-    The filter has 2**FILTER_BITS bits however many values there are, and goes into
-    the plan as a constant. It spares rows a shuffle before a join that decides; the
-    more values there are, the fewer rows it spares.
+    The filter has 2**FILTER_BITS bits and goes into the plan as a constant. It spares
+    rows a shuffle before a join that decides. Where the values fill half of it, it
+    would spare few and is left out: all rows pass, and joins of large tables have the
+    runtime filters of Spark.
     """
     (name,) = wanted.columns
     bit = F.col(name).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     words = wanted.groupBy(F.shiftright(bit, 5).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(31)).cast("int"))).alias("b"))
-    held = ["0"] * (1 << FILTER_BITS - 5)
+    held, full = ["0"] * (1 << FILTER_BITS - 5), 0
     for r in words.collect():  # at most 2**(FILTER_BITS - 5) rows
         held[r["w"]] = str(r["b"])
+        full += r["b"].bit_count()
+    if 2 * full > 1 << FILTER_BITS:
+        return lambda h: F.lit(True)
     table_ = F.split(F.lit(",".join(held)), ",").cast("array<bigint>")
 
     def test(h: Column) -> Column:

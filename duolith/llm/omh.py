@@ -428,13 +428,14 @@ def near_classes(docs: DataFrame, *, similarity: float = SIMILARITY, most: int =
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs, with all columns, without the documents that aren't the least of their class; of rows with one doc_id one stays.
 
-    Rows without doc_id stay.
+    Rows without doc_id stay. Of rows with one doc_id and different texts any may be
+    the one that stays. An empty table gives an empty table.
     """
     members = staged(near_classes(docs, **options), "members")
     gone = members.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n")).where("doc_id != class_id or doc_id is not null and n > 1")
-    gone = staged(gone.select(F.col("doc_id").alias("_id"), (F.col("doc_id") == F.col("class_id")).alias("_own")), "gone")
-    test = membership(gone.select(F.xxhash64("_id").alias("h")))(F.xxhash64("doc_id"))
-    some = docs.where(test).join(gone, F.col("doc_id") == F.col("_id"), "left")
-    alone = some.where("_id is null").select(*docs.columns)
-    again = some.where("_own").select(*docs.columns).dropDuplicates(["doc_id"])
+    gone = staged(gone.select(F.col("doc_id").alias("_class_of"), (F.col("doc_id") == F.col("class_id")).alias("_least")), "gone")
+    test = membership(gone.select(F.xxhash64("_class_of").alias("h")))(F.xxhash64("doc_id"))
+    some = docs.where(test).join(gone, F.col("doc_id") == F.col("_class_of"), "left")
+    alone = some.where("_class_of is null").select(*docs.columns)
+    again = some.where("_least").select(*docs.columns).dropDuplicates(["doc_id"])
     return docs.where(~test).unionByName(alone).unionByName(again)

@@ -276,15 +276,19 @@ def test_line_dedup_equals_brute_force(spark, edits, bases):
         rows.append((d, "\n".join("" if k < 0.1 else mutated(dice, dice.choice(base), int(k * 4)) if k < 0.8 else "x" * dice.randint(1, 3) for k in kinds)))
     rows += [(100, None), (101, ""), (102, rows[0][1]), (102, rows[0][1])]
     first = {}
-    for d, t in sorted(set(rows), key=lambda r: r[0]):
+    for d, t in sorted({r for r in rows if r[0] is not None}, key=lambda r: r[0]):
         for i, line in enumerate((t or "").split("\n")):
             if line.strip(" "):
                 first.setdefault(line.strip(" "), (d, i))
     links = {f: [g for g in first if g != f and min(len(f), len(g)) >= 20 and distance(f, g) <= edits] for f in first}
-    df = spark.createDataFrame([(*r, "e") for r in rows], "doc_id bigint, text string, n_links string").select("doc_id", "text")
+    rows += [(None, rows[1][1]), (None, "only here in a row without id")]
+    df = spark.createDataFrame([(*r, "e", 0, "f") for r in rows], "doc_id bigint, text string, n_links string, _doc int, n_lines string")
+    assert linededup.without_copied_lines(df).columns == df.columns
+    df = df.select("doc_id", "text", "n_links", "_doc")
     got = linededup.clean(df, edits=edits).collect()
     assert len(got) == len(rows)
-    for r in got:
+    assert sorted(r.text or "" for r in got if r.doc_id is None)[-1].endswith("without id")
+    for r in (r for r in got if r.doc_id is not None):
         t = dict(rows)[r.doc_id]
         keep = []
         for i, line in enumerate((t or "").split("\n")):
@@ -295,6 +299,19 @@ def test_line_dedup_equals_brute_force(spark, edits, bases):
     assert linededup.clean(df.limit(0)).count() == 0
 
 
+def test_hot_long_lines_meet_by_finer_cuts(spark):
+    """Forty lines of 700 characters that differ in one place each, and as many that differ in two: only the former link."""
+    base = "".join(random.Random(3).choice("abcdefgh ") for _ in range(700))
+    one = [base[:k] + "#" + base[k + 1 :] for k in range(100, 140)]
+    two = [base[:300] + f"{k % 10}" + base[301:400] + f"{k // 10}" + base[401:] + "!" for k in range(40)]
+    lines = [base, *one, *two]
+    want = [sum(distance(a[90:150] + a[290:], b[90:150] + b[290:]) == 1 if abs(len(a) - len(b)) <= 1 and a != b else 0 for b in lines) if len(a) < 700 or i < 3 else None for i, a in enumerate(lines)]
+    got = {r.doc_id: r for r in linededup.clean(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")).collect()}
+    assert got[0].n_links == 40 and all(got[i].n_links == 1 for i in range(1, 41)) and want[0] == 40
+    for i in range(41, 81):
+        assert got[i].n_links == sum((i - 41) % 10 == (j - 41) % 10 or (i - 41) // 10 == (j - 41) // 10 for j in range(41, 81) if j != i)
+
+
 # ---------------------------------------------------------------- near copies
 
 
