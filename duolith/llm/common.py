@@ -119,7 +119,7 @@ def membership(wanted: DataFrame) -> Callable[[Column], Column]:
 
 
 #: What goes to a Python worker at once: rows, and bytes where the rows are long.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 
 def bounded(df: DataFrame) -> DataFrame:
