@@ -2,29 +2,47 @@
 
 Paragraph alignment is a shortest path over (source, target) positions. Both
 sides come as arrays of lengths and sets of number anchors measured beforehand;
-the same path finder serves paragraphs, windows, sections and documents with
-their own moves and costs. Ties keep the earliest predecessor in row order, then
-the first move.
+windows, sections and documents have the same kind of path with their own moves
+and costs. Ties keep the earliest predecessor in row order, then the first move.
 """
 
 from __future__ import annotations
 
 import difflib
 import math
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 
 # Costs and moves.
 GAP, ANCHOR, ANCHOR_CAP, MERGE_PENALTY = 1.7, -0.45, -1.2, 0.20
 LEXICON_WEIGHT, SOFT_ANCHOR = 1.5, 0.5
-K_LOW, K_HIGH, K_DEFAULT = 1.25, 2.25, 1.85
 MOVES = ((1, 1), (1, 2), (2, 1), (1, 0), (0, 1))
 WIDE_MOVES = (*MOVES, (1, 3), (3, 1), (1, 4), (4, 1))
 WINDOW_MOVES = ((1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (3, 2), (1, 0), (0, 1), (3, 1), (1, 3))
 PROBE_RATIOS = (0.72, 0.79, 0.86, 0.93, 1.00, 1.07, 1.14, 1.21, 1.33, 1.44)
 LEAST_SLACK = 3
+#: Cells of a section pair from which a path is found by whole diagonals.
+SMALL = 4096
+
+
+class Unit(NamedTuple):
+    """What a target's length is counted in: limits and default of the target's length for a source word, and sound ratios of a link."""
+
+    k_low: float
+    k_high: float
+    k: float
+    low: float
+    high: float
+
+
+#: Han characters for a word. For words against words the limits stand around 1 as those do around their default.
+HAN = Unit(1.25, 2.25, 1.85, 1.2, 3.0)
+WORDS = Unit(0.5, 2.0, 1.0, 0.65, 1.62)
+UNITS = {"han": HAN, "words": WORDS}
 
 
 @dataclass
@@ -92,49 +110,171 @@ def mismatch(e: float, z: float, mean: float) -> float:
     return abs(e - z) / mean + 1.2 * max(0.0, abs(math.log((z + 1.0) / (e + 1.0))) - 0.35)
 
 
-def ratio_of(src: Side, tgt: Side) -> float:
+def clamped(k: float, unit: Unit) -> float:
+    return min(max(k, unit.k_low), unit.k_high)
+
+
+def ratio_of(src: Side, tgt: Side, unit: Unit = HAN) -> float:
     """Target length for each source word, clamped."""
-    return min(max(float(tgt.han.sum()) / max(1.0, float(np.maximum(src.words, 1).sum())), K_LOW), K_HIGH)
+    return clamped(float(tgt.han.sum()) / max(1.0, float(np.maximum(src.words, 1).sum())), unit)
 
 
-def estimated_ratio(src: Side, tgt: Side) -> float:
+def estimated_ratio(src: Side, tgt: Side, unit: Unit = HAN) -> float:
     w, h = float(src.words.sum()), float(tgt.han.sum())
-    return K_DEFAULT if w <= 0 or h <= 0 else min(max(h / w, K_LOW), K_HIGH)
+    return unit.k if w <= 0 or h <= 0 else clamped(h / w, unit)
 
 
 def shared_bonus(shared: int) -> float:
     return max(ANCHOR_CAP, ANCHOR * shared) if shared else 0.0
 
 
-def align(src: Side, tgt: Side, k: float | None = None, *, lexicon: dict[str, dict[str, float]] | None = None, anchors: set[tuple[int, int]] = frozenset(), wide: bool = False) -> list[Link]:
+def common_counts(src: Sequence[Iterable], tgt: Sequence[Iterable]) -> dict[tuple[int, int], int]:
+    """How many members the sets of each pair of places have in common, for the pairs that have some."""
+    where: dict = defaultdict(list)
+    for j, members in enumerate(tgt):
+        for x in members:
+            where[x].append(j)
+    out: dict[tuple[int, int], int] = defaultdict(int)
+    for i, members in enumerate(src):
+        for x in members:
+            for j in where.get(x, ()):
+                out[i, j] += 1
+    return out
+
+
+def learned_lexicon(links: Iterable[Link], src: Side, tgt: Side, *, least: int = 2, keep: int = 3) -> dict[str, list]:
+    """Of each source token the `keep` target units of highest Dice coefficient over the links; ties go to the smaller unit.
+
+    Only tokens and pairs that occur in `least` links count.
+    """
+    words, units = {}, {}
+    rows: list[tuple[np.ndarray, np.ndarray]] = []
+    for p in links:
+        if p.src and p.tgt:
+            a = {t for i in p.src for t in src.tokens[i]}
+            b = {g for j in p.tgt for g in tgt.grams[j]}
+            rows.append((np.array([words.setdefault(t, len(words)) for t in a], dtype=np.int64), np.array([units.setdefault(g, len(units)) for g in b], dtype=np.int64)))
+    if not words or not units:
+        return {}
+    n_word, n_unit = (np.bincount(np.concatenate([r[k] for r in rows]), minlength=n) for k, n in ((0, len(words)), (1, len(units))))
+    pairs = np.concatenate([(a[:, None] * len(units) + b[None, :]).ravel() for a, b in rows])
+    found, counts = np.unique(pairs, return_counts=True)
+    found, counts = found[counts >= least], counts[counts >= least]
+    w, g = found // len(units), found % len(units)
+    dice = 2.0 * counts / (n_word[w] + n_unit[g])
+    name_w, name_g, out = list(words), list(units), defaultdict(list)
+    for i in sorted(range(len(found)), key=lambda i: (-dice[i], name_g[g[i]])):
+        if len(out[name_w[w[i]]]) < keep:
+            out[name_w[w[i]]].append(name_g[g[i]])
+    return dict(out)
+
+
+def bonuses(src: Side, tgt: Side, lexicon: dict[str, list] | None, anchors: Iterable[tuple[int, int]]) -> dict[tuple[int, int], float]:
+    """What a 1:1 link is cheaper by: shared numbers, soft anchors, known counterparts."""
+    out: dict[tuple[int, int], float] = defaultdict(float)
+    for at, n in common_counts(src.numbers, tgt.numbers).items():
+        out[at] += shared_bonus(n)
+    for at in anchors:
+        out[at] -= SOFT_ANCHOR
+    if lexicon:
+        known = [frozenset(g for t in toks if t in lexicon for g in lexicon[t]) for toks in src.tokens]
+        for (i, j), n in common_counts(known, tgt.grams).items():
+            out[i, j] -= LEXICON_WEIGHT * n / max(1, len(src.tokens[i]))
+    return out
+
+
+def mismatches(e: np.ndarray, z: np.ndarray, mean: float) -> np.ndarray:
+    return np.abs(e - z) / mean + 1.2 * np.maximum(0.0, np.abs(np.log((z + 1.0) / (e + 1.0))) - 0.35)
+
+
+def length_path(e: np.ndarray, z: np.ndarray, mean: float, moves: Sequence[tuple[int, int]], bonus: dict[tuple[int, int], float]) -> list[tuple[int, int, int, int]]:
+    """Moves (i, a, j, b) of least cost between two sequences of running lengths; every cell is looked at.
+
+    Places on one diagonal don't depend on each other, so large tables go by whole
+    diagonals; small ones go cell by cell over the same costs.
+    """
+    n, m = len(e) - 1, len(z) - 1
+    order = sorted(range(len(moves)), key=lambda at: (-moves[at][0], -moves[at][1]))  # earlier cells first
+    if n * m <= SMALL:
+        costs = []
+        for a, b in moves:
+            if a and b:
+                c = mismatches((e[a:] - e[: max(0, n + 1 - a)])[:, None], (z[b:] - z[: max(0, m + 1 - b)])[None, :], mean)
+                if (a, b) == (1, 1):
+                    for (i, j), more in bonus.items():
+                        c[i, j] += more
+                costs.append((c if (a, b) == (1, 1) else c + MERGE_PENALTY).tolist())
+            else:
+                costs.append((GAP * ((e[a:] - e[: n + 1 - a]) if a else (z[b:] - z[: m + 1 - b])) / mean).tolist())
+        steps = [(at, *moves[at], costs[at], bool(moves[at][0]), bool(moves[at][1])) for at in order]
+        total = [[math.inf] * (m + 1) for _ in range(n + 1)]
+        came = [[0] * (m + 1) for _ in range(n + 1)]
+        total[0][0] = 0.0
+        for i in range(n + 1):
+            for j in range(m + 1):
+                best, by = total[i][j], 0
+                for at, a, b, c, has_a, has_b in steps:
+                    p, q = i - a, j - b
+                    if p >= 0 and q >= 0:
+                        now = total[p][q] + (c[p][q] if has_a and has_b else c[p] if has_a else c[q])
+                        if now < best:
+                            best, by = now, at
+                total[i][j], came[i][j] = best, by
+    else:
+        came = np.zeros((n + 1, m + 1), dtype=np.uint8)
+        reach = max(a + b for a, b in moves)
+        held: list[np.ndarray] = [np.full(n + 1, np.inf) for _ in range(reach + 1)]  # the last diagonals, by row
+        held[0][0] = 0.0
+        at_sum: dict[int, list] = defaultdict(list)
+        for (i, j), more in bonus.items():
+            at_sum[i + j + 2].append((i + 1, more))
+        for d in range(1, n + m + 1):
+            low, high = max(0, d - m), min(n, d)
+            i = np.arange(low, high + 1)
+            best, by = np.full(len(i), np.inf), np.zeros(len(i), dtype=np.uint8)
+            for at in order:
+                a, b = moves[at]
+                ok = (i >= a) & (d - i >= b)
+                x = i[ok]
+                if not len(x):
+                    continue
+                y = d - x
+                before = held[(d - a - b) % (reach + 1)][x - a]
+                if a and b:
+                    c = mismatches(e[x] - e[x - a], z[y] - z[y - b], mean)
+                    if (a, b) == (1, 1):
+                        for row, more in at_sum.get(d, ()):
+                            c[row - x[0]] += more
+                    else:
+                        c = c + MERGE_PENALTY
+                else:
+                    c = GAP * ((e[x] - e[x - a]) if a else (z[y] - z[y - b])) / mean
+                now = before + c
+                less = now < best[ok]
+                put = np.flatnonzero(ok)[less]
+                best[put], by[put] = now[less], at
+            row = held[d % (reach + 1)]
+            row[:] = np.inf
+            row[i] = best
+            came[i, d - i] = by
+    out, i, j = [], n, m
+    while i or j:
+        a, b = moves[came[i][j]]
+        i, j = i - a, j - b
+        out.append((i, a, j, b))
+    return out[::-1]
+
+
+def align(src: Side, tgt: Side, k: float | None = None, *, unit: Unit = HAN, lexicon: dict[str, list] | None = None, anchors: Iterable[tuple[int, int]] = (), wide: bool = False) -> list[Link]:
     """Monotone paragraph alignment. An empty side gives gaps only."""
     n, m = len(src), len(tgt)
     if not n or not m:
         return [Link([i], []) for i in range(n)] + [Link([], [j]) for j in range(m)]
     words = np.maximum(src.words, 1).astype(float)
-    k = ratio_of(src, tgt) if k is None else min(max(k, K_LOW), K_HIGH)
-    e = prefix(words * k)
-    z = prefix(tgt.han + k * tgt.loose)
-    w, mean = prefix(words), max(1.0, e[-1] / n)
-    known = [(frozenset(g for t in toks if t in lexicon for g in lexicon[t]), max(1, len(toks))) for toks in src.tokens] if lexicon else None
-
-    def cost(i: int, a: int, j: int, b: int) -> float:
-        if not a:
-            return GAP * (z[j + b] - z[j]) / mean
-        if not b:
-            return GAP * (e[i + a] - e[i]) / mean
-        total = mismatch(e[i + a] - e[i], z[j + b] - z[j], mean)
-        if a != 1 or b != 1:
-            return total + MERGE_PENALTY
-        total += shared_bonus(len(src.numbers[i] & tgt.numbers[j]))
-        if (i, j) in anchors:
-            total -= SOFT_ANCHOR
-        if known and known[i][0] and tgt.grams[j]:
-            total -= LEXICON_WEIGHT * len(known[i][0] & tgt.grams[j]) / known[i][1]
-        return total
-
+    k = ratio_of(src, tgt, unit) if k is None else clamped(k, unit)
+    e, z, w = (np.concatenate([[0.0], np.cumsum(x)]) for x in (words * k, tgt.han + k * tgt.loose, words))
     out = []
-    for i, a, j, b in shortest_path(n, m, WIDE_MOVES if wide else MOVES, cost):
+    for i, a, j, b in length_path(e, z, max(1.0, e[-1] / n), WIDE_MOVES if wide else MOVES, bonuses(src, tgt, lexicon, anchors)):
         link = Link(list(range(i, i + a)), list(range(j, j + b)))
         if a and b:
             em, zm = e[i + a] - e[i], z[j + b] - z[j]
@@ -144,6 +284,13 @@ def align(src: Side, tgt: Side, k: float | None = None, *, lexicon: dict[str, di
     return out
 
 
+def align_learned(src: Side, tgt: Side, k: float | None = None, **options) -> list[Link]:
+    """A first alignment teaches a lexicon, with which the second one is made; needs tokens and grams."""
+    first = align(src, tgt, k, **options)
+    lexicon = learned_lexicon(first, src, tgt) if src.tokens and tgt.grams else {}
+    return align(src, tgt, k, lexicon=lexicon, **options) if lexicon else first
+
+
 def raw_cost(links: list[Link], src: Side, tgt: Side, k: float) -> float:
     """Length cost of an alignment, without anchors and merge penalty; targets count their own unit only."""
     words = np.maximum(src.words, 1) * k
@@ -158,11 +305,11 @@ def raw_cost(links: list[Link], src: Side, tgt: Side, k: float) -> float:
     return total
 
 
-def align_window(src: Side, tgt: Side, k: float) -> list[Link]:
+def align_window(src: Side, tgt: Side, k: float, unit: Unit = HAN) -> list[Link]:
     """Re-alignment of a window with moves up to 3:2 and shared numbers over groups."""
     n, m = len(src), len(tgt)
     if not n or not m:
-        return align(src, tgt, k)
+        return align(src, tgt, k, unit=unit)
     words = np.maximum(src.words, 1).astype(float)
     e, z, w = prefix(words * k), prefix(tgt.han), prefix(words)
     mean = max(1.0, e[-1] / n)
@@ -193,7 +340,7 @@ def measured(link: Link, src: Side, tgt: Side, k: float) -> Link:
     return link
 
 
-def skewed(links: list[Link], src: Side, tgt: Side, k: float, low: float = 1.2, high: float = 3.0) -> list[tuple[int, int]]:
+def skewed(links: list[Link], src: Side, tgt: Side, k: float, unit: Unit = HAN) -> list[tuple[int, int]]:
     """Runs of two links or more whose length ratio is out of range or far from the expected one."""
     if len(links) < 3:
         return []
@@ -201,7 +348,7 @@ def skewed(links: list[Link], src: Side, tgt: Side, k: float, low: float = 1.2,
     for p in links:
         both = bool(p.src and p.tgt)
         far = both and abs(math.log((float(tgt.han[p.tgt].sum()) + 1.0) / (float(src.words[p.src].sum()) * k + 1.0))) > 0.5
-        odd.append(both and not low <= p.r <= high or far)
+        odd.append(both and not unit.low <= p.r <= unit.high or far)
     spans, start = [], None
     for i, flag in enumerate([*odd, False]):
         if flag and start is None:
@@ -213,14 +360,14 @@ def skewed(links: list[Link], src: Side, tgt: Side, k: float, low: float = 1.2,
     return spans
 
 
-def fix_skew(links: list[Link], src: Side, tgt: Side, k: float, low: float = 1.2, high: float = 3.0, margin: int = 2) -> tuple[list[Link], int]:
+def fix_skew(links: list[Link], src: Side, tgt: Side, k: float, unit: Unit = HAN, margin: int = 2) -> tuple[list[Link], int]:
     """Replaces each skewed span, with a margin, by its re-alignment; the last span goes first."""
     out, fixed = list(links), 0
-    for first, last in reversed(skewed(links, src, tgt, k, low, high)):
+    for first, last in reversed(skewed(links, src, tgt, k, unit)):
         a, b = max(0, first - margin), min(len(out) - 1, last + margin)
         s, t = sorted({i for p in out[a : b + 1] for i in p.src}), sorted({j for p in out[a : b + 1] for j in p.tgt})
         if s and t:
-            new = align_window(src.part(s), tgt.part(t), k)
+            new = align_window(src.part(s), tgt.part(t), k, unit)
             out[a : b + 1] = [measured(Link([s[i] for i in p.src], [t[j] for j in p.tgt]), src, tgt, k) for p in new]
             fixed += 1
     return out, fixed
@@ -261,16 +408,16 @@ def soft_anchors(emass: Sequence[float], zmass: Sequence[float], numbers: tuple[
     return out
 
 
-def probe(src: Side, tgt: Side, k: float | None = None, ratios: Sequence[float] = PROBE_RATIOS, least: int = 3) -> tuple[list[int], dict[int, tuple[int, int]]]:
+def probe(src: Side, tgt: Side, k: float | None = None, ratios: Sequence[float] = PROBE_RATIOS, least: int = 3, unit: Unit = HAN) -> tuple[list[int], dict[int, tuple[int, int]]]:
     """Target paragraphs that look surplus under many length ratios; candidates, and (alone, paired) votes of each."""
     n, m = len(src), len(tgt)
     slack = m - n
     if n < 2 or m < 2 or slack <= 0:
         return [], {}
-    k = estimated_ratio(src, tgt) if k is None else k
+    k = estimated_ratio(src, tgt, unit) if k is None else k
     alone, paired = np.zeros(m, int), np.zeros(m, int)
     for r in ratios:
-        for p in align(src, tgt, k * r):
+        for p in align(src, tgt, k * r, unit=unit):
             for j in p.tgt:
                 (paired if p.src else alone)[j] += 1
     votes = {j: (int(alone[j]), int(paired[j])) for j in range(m)}
@@ -296,7 +443,7 @@ def match_sequences(src_len: Sequence[float], tgt_len: Sequence[float], skip: fl
     return [(i if a else None, j if b else None) for i, a, j, b in shortest_path(len(src_len), len(tgt_len), ((1, 1), (1, 0), (0, 1)), cost)]
 
 
-def align_sections(src: list[Side], tgt: list[Side], *, band: int = 3, skip: float = 0.4, anchor: float = 0.15, k: float | None = None, lexicon: dict | None = None) -> list[tuple[list[int], list[int]]]:
+def align_sections(src: list[Side], tgt: list[Side], *, band: int = 3, skip: float = 0.4, anchor: float = 0.15, k: float | None = None, lexicon: dict | None = None, unit: Unit = HAN) -> list[tuple[list[int], list[int]]]:
     """Monotone matching of sections by the cost of aligning their paragraphs, with a bonus for shared numbers."""
 
     def joined(sides: list[Side]) -> Side:
@@ -304,7 +451,7 @@ def align_sections(src: list[Side], tgt: list[Side], *, band: int = 3, skip: flo
         flat = lambda name: [x for s in sides for x in getattr(s, name)]
         return Side(cat("han"), cat("words"), cat("loose"), flat("numbers"), flat("tokens"), flat("grams"))
 
-    k = estimated_ratio(joined(src), joined(tgt)) if k is None else k
+    k = estimated_ratio(joined(src), joined(tgt), unit) if k is None else k
     numbers = [[frozenset().union(*s.numbers) if s.numbers else frozenset() for s in side] for side in (src, tgt)]
 
     def cost(i: int, a: int, j: int, b: int) -> float | None:
@@ -314,7 +461,7 @@ def align_sections(src: list[Side], tgt: list[Side], *, band: int = 3, skip: flo
             return None
         one, two = joined(src[i : i + a]), joined(tgt[j : j + b])
         shared = frozenset().union(*(numbers[0][x] & numbers[1][y] for x in range(i, i + a) for y in range(j, j + b)))
-        return raw_cost(align(one, two, k, lexicon=lexicon), one, two, k) - anchor * min(len(shared), 6)
+        return raw_cost(align(one, two, k, lexicon=lexicon, unit=unit), one, two, k) - anchor * min(len(shared), 6)
 
     return [(list(range(i, i + a)), list(range(j, j + b))) for i, a, j, b in shortest_path(len(src), len(tgt), MOVES, cost)]
 
@@ -328,7 +475,7 @@ def increasing(pairs: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def claim(wants: Sequence[Sequence[int]]) -> list[int | None]:
+def claim(wants: Iterable[Iterable[int]]) -> list[int | None]:
     """Each row, in order, gets the first of its wishes that is still free."""
     taken: set[int] = set()
     out: list[int | None] = []
@@ -339,14 +486,31 @@ def claim(wants: Sequence[Sequence[int]]) -> list[int | None]:
     return out
 
 
-def split_wide(link: Link, ratios: Callable[[list[int], list[int]], float], low: float = 0.5, high: float = 4.0) -> list[Link]:
-    """N:m groups (both two or more, different) become 1:1 links and a rest, if each ratio is sound."""
+def split_wide(link: Link, ratios: Callable[[list[int], list[int]], float], low: float = 0.5, high: float = 4.0, whole: Callable[[int], bool] = lambda i: False) -> list[Link]:
+    """A group of n against m (both two or more, different) becomes 1:1 links and a group of what is left over.
+
+    Not where the ratio of one of these links is out of range, or a source must stay whole.
+    """
     n, m = len(link.src), len(link.tgt)
-    if n < 2 or m < 2 or n == m:
-        return [link]
     least = min(n, m)
-    parts = [Link([link.src[x]], [link.tgt[x]]) for x in range(least - 1)] + [Link(link.src[least - 1 :], link.tgt[least - 1 :])]
-    return parts if all(low <= ratios(p.src, p.tgt) <= high for p in parts) else [link]
+    if least < 2 or n == m:
+        return [link]
+    ones = [Link([i], [j]) for i, j in zip(link.src, link.tgt, strict=False)]
+    if any(whole(p.src[0]) or not low <= ratios(p.src, p.tgt) <= high for p in ones):
+        return [link]
+    return [*ones, Link(link.src[least:], link.tgt[least:])]
+
+
+def merge_formula_lines(links: list[Link], src_ends: Callable[[int], bool], tgt_ends: Callable[[int], bool], formula: Callable[[int], bool]) -> list[Link]:
+    """Where a link's sides both end like the opening of a formula, the next link's first target joins it if it is one.
+
+    Links that nothing is left of go.
+    """
+    out = [Link(list(p.src), list(p.tgt), p.r, p.c) for p in links]
+    for p, q in zip(out, out[1:], strict=False):
+        if p.src and p.tgt and q.tgt and src_ends(p.src[-1]) and tgt_ends(p.tgt[-1]) and formula(q.tgt[0]):
+            p.tgt.append(q.tgt.pop(0))
+    return [p for p in out if p.src or p.tgt]
 
 
 def glued_markers(texts: list[list[str]], opens: list[str], marker: Callable[[str], str]) -> list[list[str]]:

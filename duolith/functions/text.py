@@ -354,7 +354,8 @@ def formatted_count(n: Column) -> Column:
 # Blocks and lines.
 # Classes of headings, titles and quotes.
 HEAD_CLASS = "(?i)(?:^|[\\s_-])h([1-6])(?:[a-z])?(?:[\\s_-]|$)"
-TITLE_CLASS = "(?i)(?:^|[\\s_-])(?:chapter|section|part)[\\s_-]?title(?:[\\s_-]|$)|(?:^|[\\s_-])fm[\\s_-]?title[0-9]*(?:[\\s_-]|$)"
+TITLE_CLASS = "(?i)(?:^|[\\s_-])(?:chapter|section|part)[\\s_-]?title(?:[\\s_-]|$)"
+FRONT_TITLE_CLASS = "(?i)(?:^|[\\s_-])fm[\\s_-]?title[0-9]*(?:[\\s_-]|$)"
 QUOTE_CLASS = "(?i)(?:^|[\\s_-])(?:disp[\\s_-]?(?:quote|para|source)|epigraph|extract)(?:[\\s_-]|$)"
 
 
@@ -374,7 +375,7 @@ def semantic_type(tag: Column, cls: Column, kind: Column, text: Column) -> Colum
     return (
         F.when(tag.rlike("^h[1-6]$"), "heading")
         .when(cls.rlike(QUOTE_CLASS), "quote")
-        .when((cls.rlike(HEAD_CLASS) | cls.rlike(TITLE_CLASS)) & looks_like_heading(text), "heading")
+        .when((cls.rlike(HEAD_CLASS) | cls.rlike(TITLE_CLASS) | cls.rlike(FRONT_TITLE_CLASS)) & looks_like_heading(text), "heading")
         .when(tag == "blockquote", "quote")
         .when(tag == "li", "li")
         .when(tag == "pre", "code")

@@ -1,27 +1,26 @@
-"""Order-preserving alignment of grouped tables.
+"""Order-preserving alignment of grouped tables.
 
-Measures are native columns; only the sequential path finding runs in Python, one
-group at a time through cogrouped Arrow batches. A group is one section: its rows
-are measures, not texts; a path looks at all cells, a byte each, at every size.
+Measures are native columns; only the sequential path finding runs in Python, over
+groups that stream through a task in order. A group is one section: its rows are
+measures, not texts; a path looks at all cells, a byte each, at every size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duolith.functions import kernels as K
 from duolith.functions import text as T
 from duolith.operators.corpus import measured
+from duolith.operators.groups import by_both, by_group
+from duolith.operators.matching import band_join
 
-KEPT = ("idx", "han", "words", "loose", "numbers")
-
-
-def filled(pdf: pd.DataFrame, *columns: str) -> pd.DataFrame:
-    """A cogroup's missing side comes without columns."""
-    return pdf if len(pdf.columns) else pd.DataFrame({c: [] for c in columns})
+KEPT = ["idx", "han", "words", "loose", "numbers"]
+LEARNED = ["tokens", "grams"]
 
 
 def fresh(df: DataFrame) -> DataFrame:
@@ -29,97 +28,147 @@ def fresh(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
-def side_of(pdf: pd.DataFrame, unit: str = "han") -> K.Side:
-    pdf = filled(pdf, *KEPT).sort_values("idx")
-    numbers = [frozenset(x) for x in pdf["numbers"]]
-    tokens = [list(x) for x in pdf["tokens"]] if "tokens" in pdf else []
-    grams = [frozenset(x) for x in pdf["grams"]] if "grams" in pdf else []
-    loose = pdf["loose"].to_numpy(float) if unit == "han" else np.zeros(len(pdf))
-    return K.Side(pdf[unit].to_numpy(float), pdf["words"].to_numpy(float), loose, numbers, tokens, grams)
+def with_tokens(paras: DataFrame, unit: str) -> DataFrame:
+    """What a lexicon is learned from: words of four letters, and on the target's side its pairs of Han characters or its words."""
+    t = F.col("text")
+    return paras.withColumns({"tokens": T.en_tokens(t), "grams": T.zh_bigrams(t) if unit == "han" else F.array_distinct(T.en_tokens(t))})
 
 
-def _kept(paras: DataFrame, key: str) -> DataFrame:
-    have = paras if "words" in paras.columns else measured(paras)
-    return have.select(key, *KEPT, *[c for c in ("tokens", "grams") if c in have.columns])
+def side_of(rows: list[tuple], unit: str) -> K.Side:
+    """Rows of KEPT, and of LEARNED if they have them, in order."""
+    if not rows:
+        return K.Side(np.zeros(0), np.zeros(0), np.zeros(0), [], [], [])
+    _, han, words, loose, numbers, *more = zip(*rows, strict=True)
+    words = np.array(words, float)
+    mass, rest = (np.array(han, float), np.array(loose, float)) if unit == "han" else (words, np.zeros(len(words)))
+    tokens, grams = ([list(x) for x in more[0]], [frozenset(x) for x in more[1]]) if more else ([], [])
+    return K.Side(mass, words, rest, [frozenset(x) for x in numbers], tokens, grams)
 
 
-def align(src: DataFrame, tgt: DataFrame, key: str = "doc_id", *, unit: str = "han", k: float | None = None, repair: bool = False, wide: bool = False) -> DataFrame:
+def _sides(src: DataFrame, tgt: DataFrame, key: str, learn: str | None = None) -> list[DataFrame]:
+    out = []
+    for x in (src, tgt):
+        x = x.where(F.col(key).isNotNull())
+        x = x if "words" in x.columns else measured(x)
+        out.append(x if learn is None or "tokens" in x.columns else with_tokens(x, learn))
+    return out
+
+
+def align(src: DataFrame, tgt: DataFrame, key: str = "doc_id", *, unit: str = "han", k: float | None = None, lexicon: bool = False, anchors: bool = False, repair: bool = False, wide: bool = False) -> DataFrame:
     """Aligns the paragraphs (key, idx, text or measures) of each group: key, pair_idx, src, tgt, r, c.
 
     unit is the target's length column: han for Chinese, words where both sides are
-    written in words. repair re-aligns skewed spans. Groups on one side only give
-    gaps; null keys form no group.
+    written in words. lexicon learns counterparts from a first alignment of the group
+    and aligns again; it needs text. anchors prefers places with like lengths and a
+    number, a Latin word or a sentence curve in common; it needs text too. repair
+    re-aligns skewed spans. Groups on one side only give gaps; null keys form no group.
     """
+    kind, form = dict(src.dtypes)[key], K.UNITS[unit]
+    columns = KEPT + LEARNED * lexicon + SIGNS * anchors
+    one, two = _sides(src, tgt, key, unit if lexicon else None)
+    if anchors:
+        one, two = with_signs(one), with_signs(two)
+
+    def run(name, a: list[tuple], b: list[tuple]) -> Iterator[tuple]:
+        cut = len(KEPT) + len(LEARNED) * lexicon
+        s, t = side_of([r[:cut] for r in a], unit), side_of([r[:cut] for r in b], unit)
+        found = soft_pairs([r[cut:] for r in a], [r[cut:] for r in b], s, t, k, form) if anchors else ()
+        options = {"unit": form, "wide": wide, "anchors": found}
+        links = K.align_learned(s, t, k, **options) if lexicon else K.align(s, t, k, **options)
+        if repair and len(s) and len(t):
+            links, _ = K.fix_skew(links, s, t, K.ratio_of(s, t, form) if k is None else k, form)
+        for i, p in enumerate(links):
+            yield name, i, p.src, p.tgt, float(p.r), float(p.c)
+
+    return by_both(one, two, key, ["idx"], columns, run, f"{key} {kind}, pair_idx int, src array<int>, tgt array<int>, r double, c double")
+
+
+#: What soft anchors look at beside the measures.
+SIGNS = ["latin", "curve"]
+
+
+def with_signs(paras: DataFrame) -> DataFrame:
+    """Latin words of three letters or more, and the lengths of the first sentences."""
+    t = F.col("text")
+    latin = F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit("[A-Za-z]{3,}"), F.lit(0)), F.lower))
+    return paras.withColumns({"latin": latin, "curve": T.sentence_lengths(t)})
+
+
+def soft_pairs(a: list[tuple], b: list[tuple], s: K.Side, t: K.Side, k: float | None, unit: K.Unit) -> list[tuple[int, int]]:
+    """J11 of a group from its rows of SIGNS."""
+    k = K.ratio_of(s, t, unit) if k is None else k
+    masses = (np.maximum(s.words, 1) * k).tolist(), (t.han + k * t.loose).tolist()
+    latin, curves = ([frozenset(r[0]) for r in a], [frozenset(r[0]) for r in b]), ([[x * k for x in r[1]] for r in a], [list(r[1]) for r in b])
+    return K.soft_anchors(*masses, (s.numbers, t.numbers), latin, curves)
+
+
+def soft_anchors(src: DataFrame, tgt: DataFrame, key: str, *, unit: str = "han", k: float | None = None) -> DataFrame:
+    """Increasing anchors near the diagonal whose lengths agree, and a number, a Latin word or the sentence curve does: key, i, j."""
     kind = dict(src.dtypes)[key]
+    one, two = (with_signs(x) for x in _sides(src, tgt, key))
 
-    def run(ids, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        s, t = side_of(a, unit), side_of(b, unit)
-        links = K.align(s, t, k if unit == "han" else (k or 1.0) if len(s) and len(t) else None, wide=wide)
-        if repair and len(s) and len(t):
-            links, _ = K.fix_skew(links, s, t, k or K.ratio_of(s, t))
-        at = [p.src for p in links], [p.tgt for p in links]
-        name = ids[0]
-        return pd.DataFrame({key: name, "pair_idx": np.arange(len(links), dtype=np.int32), "src": at[0], "tgt": at[1], "r": [float(p.r) for p in links], "c": [float(p.c) for p in links]})
+    def run(name, a: list[tuple], b: list[tuple]) -> Iterator[tuple]:
+        cut = len(KEPT)
+        s, t = side_of([r[:cut] for r in a], unit), side_of([r[:cut] for r in b], unit)
+        for i, j in soft_pairs([r[cut:] for r in a], [r[cut:] for r in b], s, t, k, K.UNITS[unit]):
+            yield name, i, j
 
-    one, two = (_kept(x, key).where(F.col(key).isNotNull()) for x in (src, tgt))
-    return one.groupBy(key).cogroup(fresh(two).groupBy(key)).applyInPandas(run, f"{key} {kind}, pair_idx int, src array<int>, tgt array<int>, r double, c double")
+    return by_both(one, two, key, ["idx"], KEPT + SIGNS, run, f"{key} {kind}, i int, j int")
+
+
+def anchor_candidates(src: DataFrame, tgt: DataFrame, key: str, *, band: int = 3) -> DataFrame:
+    """J11 as a band join, before any choice: pairs near the diagonal with like lengths and a number in common: key, i, j, shared."""
+    a = src.select(key, F.col("idx").alias("i"), F.col("words").alias("a_len"), F.col("numbers").alias("a_num"))
+    b = tgt.select(key, F.col("idx").alias("j"), F.col("words").alias("b_len"), F.col("numbers").alias("b_num"))
+    near = band_join(a, b, [key], "i", "j", band)
+    off, shared = F.abs(F.log((F.col("b_len") + 1) / (F.col("a_len") + 1))), F.size(F.array_intersect("a_num", "b_num"))
+    return near.select(key, "i", "j", shared.alias("shared"), off.alias("_off")).where("_off <= 0.30 and shared > 0").drop("_off")
 
 
 def probe_votes(src: DataFrame, tgt: DataFrame, key: str = "doc_id", *, unit: str = "han", k: float | None = None) -> DataFrame:
     """Votes of each target paragraph under many length ratios: key, idx, alone, paired, surplus."""
     kind = dict(src.dtypes)[key]
 
-    def run(ids, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found, votes = K.probe(side_of(a, unit), side_of(b, unit), k)
-        rows = [(ids[0], j, *v, j in found) for j, v in sorted(votes.items())]
-        return pd.DataFrame(rows, columns=[key, "idx", "alone", "paired", "surplus"])
+    def run(name, a: list[tuple], b: list[tuple]) -> Iterator[tuple]:
+        found, votes = K.probe(side_of(a, unit), side_of(b, unit), k, unit=K.UNITS[unit])
+        for j, (alone, paired) in sorted(votes.items()):
+            yield name, j, alone, paired, j in found
 
-    one, two = (_kept(x, key).where(F.col(key).isNotNull()) for x in (src, tgt))
-    return one.groupBy(key).cogroup(fresh(two).groupBy(key)).applyInPandas(run, f"{key} {kind}, idx int, alone int, paired int, surplus boolean")
+    return by_both(*_sides(src, tgt, key), key, ["idx"], KEPT, run, f"{key} {kind}, idx int, alone int, paired int, surplus boolean")
 
 
 def match_documents(src: DataFrame, tgt: DataFrame, key: str) -> DataFrame:
     """Documents (key, doc_ord, mass) of each book matched in order by length: key, src_ord, tgt_ord."""
     kind = dict(src.dtypes)[key]
 
-    def run(ids, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = (filled(x, key, "doc_ord", "mass").sort_values("doc_ord") for x in (a, b))
-        found = K.match_sequences(a["mass"].clip(lower=1.0).tolist(), b["mass"].clip(lower=1.0).tolist())
-        x, y = a["doc_ord"].tolist(), b["doc_ord"].tolist()
-        name = ids[0]
-        rows = [(name, None if i is None else x[i], None if j is None else y[j]) for i, j in found]
-        return pd.DataFrame(rows, columns=[key, "src_ord", "tgt_ord"]).astype({"src_ord": "Int64", "tgt_ord": "Int64"})
+    def run(name, a: list[tuple], b: list[tuple]) -> Iterator[tuple]:
+        masses = [[max(1.0, r[1]) for r in rows] for rows in (a, b)]
+        for i, j in K.match_sequences(*masses):
+            yield name, None if i is None else a[i][0], None if j is None else b[j][0]
 
-    return src.groupBy(key).cogroup(fresh(tgt).groupBy(key)).applyInPandas(run, f"{key} {kind}, src_ord bigint, tgt_ord bigint")
+    return by_both(src, tgt, key, ["doc_ord"], ["doc_ord", "mass"], run, f"{key} {kind}, src_ord bigint, tgt_ord bigint")
 
 
-def match_sections(src: DataFrame, tgt: DataFrame, key: str, *, unit: str = "han", band: int = 2) -> DataFrame:
+def match_sections(src: DataFrame, tgt: DataFrame, key: str, *, unit: str = "han", band: int = 2, k: float | None = None) -> DataFrame:
     """Sections (key, sec, idx, measures) of each chapter matched by their paragraphs: key, src_secs, tgt_secs."""
     kind = dict(src.dtypes)[key]
 
-    def sections(pdf: pd.DataFrame) -> tuple[list, list[K.Side]]:
-        groups = [(s, side_of(g, unit)) for s, g in filled(pdf, key, "sec", *KEPT).groupby("sec", sort=True)]
-        return [s for s, _ in groups], [x for _, x in groups]
+    def sections(rows: list[tuple]) -> tuple[list, list[K.Side]]:
+        names = sorted({r[0] for r in rows})
+        return names, [side_of([r[1:] for r in rows if r[0] == s], unit) for s in names]
 
-    def run(ids, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def run(name, a: list[tuple], b: list[tuple]) -> Iterator[tuple]:
         (x, s), (y, t) = sections(a), sections(b)
-        found = K.align_sections(s, t, band=band, k=None if unit == "han" else 1.25)
-        name = ids[0]
-        return pd.DataFrame([(name, [int(x[i]) for i in p], [int(y[j]) for j in q]) for p, q in found], columns=[key, "src_secs", "tgt_secs"])
+        for p, q in K.align_sections(s, t, band=band, k=k, unit=K.UNITS[unit]):
+            yield name, [int(x[i]) for i in p], [int(y[j]) for j in q]
 
-    cols = [key, "sec", *KEPT]
-    return measured(src).select(*cols).groupBy(key).cogroup(fresh(measured(tgt).select(*cols)).groupBy(key)).applyInPandas(run, f"{key} {kind}, src_secs array<int>, tgt_secs array<int>")
+    return by_both(*_sides(src, tgt, key), key, ["sec", "idx"], ["sec", *KEPT], run, f"{key} {kind}, src_secs array<int>, tgt_secs array<int>")
 
 
 def increasing_pairs(pairs: DataFrame, key: str) -> DataFrame:
     """Of pairs (key, i, j) those that keep increasing on both sides."""
     schema = ", ".join(f"{n} {t}" for n, t in pairs.select(key, "i", "j").dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = K.increasing(list(zip(pdf["i"], pdf["j"], strict=True)))
-        return pd.DataFrame({key: pdf[key].iloc[0], "i": [a for a, _ in kept], "j": [b for _, b in kept]})
-
-    return pairs.select(key, "i", "j").groupBy(key).applyInPandas(run, schema)
+    return by_group(pairs, key, ["i", "j"], ["i", "j"], lambda name, rows: ((name, i, j) for i, j in K.increasing(rows)), schema)
 
 
 def unique_anchors(src: DataFrame, tgt: DataFrame, key: str) -> DataFrame:
@@ -132,17 +181,77 @@ def unique_anchors(src: DataFrame, tgt: DataFrame, key: str) -> DataFrame:
     return increasing_pairs(once(src, "i").join(once(tgt, "j"), [key, "mark"]), key)
 
 
-def soft_anchors(src: DataFrame, tgt: DataFrame, key: str, *, band: int = 3) -> DataFrame:
-    """The band join as columns, before the greedy choice: pairs near the diagonal whose lengths and signs agree.
+LINKS = "pair_idx int, src array<int>, tgt array<int>"
+
+
+def reshaped(links: DataFrame, src: DataFrame, tgt: DataFrame, key: str, facts: dict[str, Column], step) -> DataFrame:
+    """step(links, facts of sources, facts of targets) for each group: key, pair_idx, src, tgt.
 
-    Returns key, i, j, off (log ratio), shared (numbers in common). Groups are split
-    by position, so that a long section isn't joined with itself as a whole.
+    links: key, pair_idx, src, tgt; src and tgt: key, idx and what facts (columns of
+    either side by name) are made from. Only facts travel, not texts.
     """
-    cell = lambda c: F.floor(F.col(c) / (band + 1))
-    a = src.select(key, F.col("idx").alias("i"), F.col("words").alias("a_len"), F.col("numbers").alias("a_num"))
-    b = tgt.select(key, F.col("idx").alias("j"), F.col("words").alias("b_len"), F.col("numbers").alias("b_num"))
-    a = a.withColumn("cell", F.explode(F.array(cell("i") - 1, cell("i"), cell("i") + 1)))
-    near = a.join(b.withColumn("cell", cell("j")), [key, "cell"]).where(F.abs(F.col("i") - F.col("j")) <= band)
-    off = F.abs(F.log((F.col("b_len") + 1) / (F.col("a_len") + 1)))
-    shared = F.size(F.array_intersect("a_num", "b_num"))
-    return near.select(key, "i", "j", off.alias("off"), shared.alias("shared")).where((F.col("off") <= 0.30) & (F.col("shared") > 0))
+    kind, names = dict(links.dtypes)[key], list(facts)
+    side = lambda df, n: df.select(key, F.lit(n).alias("_part"), F.col("idx").cast("int").alias("_at"), F.lit(None).cast("array<int>").alias("src"), F.lit(None).cast("array<int>").alias("tgt"), *[c.alias(f"_{f}") for f, c in facts.items()])
+    own = links.select(key, F.lit(2).alias("_part"), F.col("pair_idx").cast("int").alias("_at"), "src", "tgt")
+    rows = side(src, 0).unionByName(side(tgt, 1)).unionByName(own, allowMissingColumns=True)
+
+    def run(name, rows: list[tuple]) -> Iterator[tuple]:
+        sides: tuple[dict, dict] = {}, {}
+        found = []
+        for part, at, s, t, *told in rows:
+            if part < 2:
+                sides[part][at] = dict(zip(names, told, strict=True))
+            else:
+                found.append(K.Link(s, t))
+        for i, p in enumerate(step(found, *sides)):
+            yield name, i, p.src, p.tgt
+
+    return by_group(rows, key, ["_part", "_at"], ["_part", "_at", "src", "tgt", *[f"_{f}" for f in names]], run, f"{key} {kind}, {LINKS}")
+
+
+def split_wide_groups(links: DataFrame, src: DataFrame, tgt: DataFrame, key: str, *, unit: str = "han", kinds: str | None = None) -> DataFrame:
+    """Groups of several against several, of different number, as 1:1 links and a rest where their length ratios allow.
+
+    kinds names the column of src with block types; code and list items stay whole.
+    """
+    whole = F.col(kinds).isin("code", "li", "pre") if kinds and kinds in src.columns else F.lit(False)
+    mass = T.han_chars(F.col("text")) if unit == "han" else T.en_words(F.col("text"))
+    k = 1.8 if unit == "han" else 1.0
+    blank = F.lit(False)
+    marked = src.withColumn("_whole", whole), tgt.withColumn("_whole", blank)
+
+    def step(found: list[K.Link], s: dict, t: dict) -> Iterator[K.Link]:
+        ratio = lambda a, b: t[b[0]]["mass"] / max(1.0, s[a[0]]["words"] * k)
+        for p in found:
+            yield from K.split_wide(p, ratio, whole=lambda i: s[i]["whole"])
+
+    return reshaped(links, *marked, key, {"mass": mass, "words": T.en_words(F.col("text")), "whole": F.col("_whole")}, step)
+
+
+#: Fixed value: an enumerator that opens a paragraph.
+MARKER = "^[\\s\\u3000]*[（(]\\s*([IVXLC]{1,5}|[ivxlc]{1,5}|[a-z]|[0-9]{1,2})\\s*[)）]"
+
+
+def return_glued_markers(links: DataFrame, src: DataFrame, tgt: DataFrame, key: str, most: int = 40) -> DataFrame:
+    """A short target that ends a group and opens with the enumerator of the next group's source goes to that group."""
+    t = T.stripped(F.col("text"))
+    facts = {"mark": F.lower(F.regexp_extract(t, MARKER, 1)), "short": F.length(t) <= most}
+
+    def step(found: list[K.Link], s: dict, t: dict) -> list[K.Link]:
+        out = [K.Link(list(p.src), list(p.tgt)) for p in found]
+        for p, q in zip(out, out[1:], strict=False):
+            if len(p.tgt) > 1 and q.src and q.tgt:
+                last = t[p.tgt[-1]]
+                if last["short"] and last["mark"] and last["mark"] == s[q.src[0]]["mark"]:
+                    q.tgt.insert(0, p.tgt.pop())
+        return out
+
+    return reshaped(links, src, tgt, key, facts, step)
+
+
+def merge_formula_lines(links: DataFrame, src: DataFrame, tgt: DataFrame, key: str) -> DataFrame:
+    """After a source that ends with a colon and a target that ends with one or a full stop, a target with two dollars joins from the next group."""
+    t = F.regexp_replace(F.col("text"), "(?U)\\s+$", "")
+    facts = {"colon": t.endswith(":"), "ends": t.rlike("[：:。]$"), "formula": F.regexp_count("text", F.lit("\\$")) >= 2}
+    step = lambda found, s, t: K.merge_formula_lines(found, lambda i: s[i]["colon"], lambda j: t[j]["ends"], lambda j: t[j]["formula"])
+    return reshaped(links, src, tgt, key, facts, step)

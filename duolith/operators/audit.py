@@ -9,20 +9,30 @@ from pyspark.sql import functions as F
 
 from duolith.functions import text as T
 from duolith.operators import sequences as S
+from duolith.operators.groups import by_group
+from duolith.operators.matching import cells_join
 
 
-def with_texts(links: DataFrame, src: DataFrame, tgt: DataFrame, key: str) -> DataFrame:
-    """Links with the joined texts and lengths of both sides (G18): src_text, tgt_text, src_words, tgt_mass, r, c."""
+def paired_texts(links: DataFrame, src: DataFrame, tgt: DataFrame, key: str) -> DataFrame:
+    """Links with the joined texts and lengths of both sides (G18): key, pair_idx, src, tgt, src_text, tgt_text, r, c.
 
-    def side(arr: str, paras: DataFrame, name: str, mass: Column) -> DataFrame:
-        parts = links.select(key, "pair_idx", F.posexplode(arr).alias("_n", "idx")).join(paras.select(key, "idx", "text"), [key, "idx"])
-        parts = parts.groupBy(key, "pair_idx").agg(F.array_sort(F.collect_list(F.struct("_n", "text"))).alias("_p"), F.sum(mass).alias(f"{name}_mass"))
-        return parts.select(key, "pair_idx", F.array_join(F.transform("_p", lambda p: p["text"]), " ").alias(f"{name}_text"), f"{name}_mass")
-
-    words = T.en_words(F.col("text"))
-    out = links.join(side("src", src, "src", words), [key, "pair_idx"], "left").join(side("tgt", tgt, "tgt", words), [key, "pair_idx"], "left")
-    both = F.col("src_mass").isNotNull() & F.col("tgt_mass").isNotNull()
-    return out.withColumns({"r": F.when(both, F.col("tgt_mass") / F.greatest(F.lit(1), F.col("src_mass"))).otherwise(0.0), "c": F.when(both, 0.9).otherwise(0.4)})
+    Links are read once: every place finds its paragraph, then a link's paragraphs
+    come together. Links that have no paragraph on either side are left out.
+    """
+    numbered = lambda c, n: F.transform(c, lambda x, i: F.struct(F.lit(n).alias("_side"), i.alias("_n"), x.alias("idx")))
+    places = F.concat(numbered("src", 0), numbered("tgt", 1))
+    paras = src.select(key, F.lit(0).alias("_side"), "idx", "text").unionByName(tgt.select(key, F.lit(1).alias("_side"), "idx", "text"))
+    rows = links.select(key, "pair_idx", F.explode(places).alias("_l")).select(key, "pair_idx", "_l.*").join(paras, [key, "_side", "idx"])
+    rows = rows.groupBy(key, "pair_idx").agg(F.array_sort(F.collect_list(F.struct("_side", "_n", "idx", "text"))).alias("_p"))
+    part = lambda n: F.filter("_p", lambda p: p["_side"] == n)
+    rows = rows.select(key, "pair_idx", part(0).alias("_s"), part(1).alias("_t"))
+    text = lambda c: F.when(F.size(c) > 0, F.array_join(F.transform(c, lambda p: p["text"]), " "))
+    mass = lambda c: F.aggregate(c, F.lit(0), lambda n, p: n + T.en_words(p["text"]))
+    both = (F.size("_s") > 0) & (F.size("_t") > 0)
+    return rows.select(
+        key, "pair_idx", F.transform("_s", lambda p: p["idx"]).alias("src"), F.transform("_t", lambda p: p["idx"]).alias("tgt"), text("_s").alias("src_text"), text("_t").alias("tgt_text"),
+        F.when(both, mass("_t") / F.greatest(F.lit(1), mass("_s"))).otherwise(0.0).alias("r"), F.when(both, 0.9).otherwise(0.4).alias("c"),
+    )
 
 
 def sided(pairs: DataFrame) -> DataFrame:
@@ -107,44 +117,27 @@ def anchor_agreement(pairs: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("comparable"), _count(exact, "exact"), _count(~exact & some, "partial"), _count(~some, "disjoint"))
 
 
-def inversions(rows: DataFrame, key: Sequence[str], order: str, value: str) -> DataFrame:
-    """Pairs of a group that stand in the wrong order. Groups are sections, so they are small.
-
-    A key with more rows than a section has belongs in inversions_merged.
-    """
-    a = rows.select(*key, F.col(order).alias("_i"), F.col(value).alias("_a"))
-    b = rows.select(*key, F.col(order).alias("_j"), F.col(value).alias("_b"))
-    wrong = a.join(b, list(key)).where("_i < _j and _a > _b").groupBy(*key).agg(F.count("*").alias("inversions"))
-    return rows.select(*key).distinct().join(wrong, list(key), "left").fillna(0, ["inversions"])
-
-
-def inversions_merged(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """G7 for long groups: counted by merging in n log n, one group at a time."""
-    import pandas as pd
-
+def inversions(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """Pairs of a group that stand in the wrong order, counted by merging in n log n: key, inversions."""
     kind = dict(rows.dtypes)[key]
 
     def count(xs: list) -> int:
-        n, width, step = 0, 1, list(xs)
-        while width < len(step):
+        n, width = 0, 1
+        while width < len(xs):
             out = []
-            for i in range(0, len(step), 2 * width):
-                a, b, x, y = step[i : i + width], step[i + width : i + 2 * width], 0, 0
-                while x < len(a) or y < len(b):
-                    if y == len(b) or x < len(a) and a[x] <= b[y]:
+            for i in range(0, len(xs), 2 * width):
+                a, b, x = xs[i : i + width], xs[i + width : i + 2 * width], 0
+                for y in b:
+                    while x < len(a) and a[x] <= y:
                         out.append(a[x])
                         x += 1
-                    else:
-                        out.append(b[y])
-                        n += len(a) - x
-                        y += 1
-            step, width = out, 2 * width
+                    out.append(y)
+                    n += len(a) - x
+                out += a[x:]
+            xs, width = out, 2 * width
         return n
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "inversions": [count(pdf.sort_values(order)[value].tolist())]})
-
-    return rows.select(key, order, value).groupBy(key).applyInPandas(run, f"{key} {kind}, inversions bigint")
+    return by_group(rows, key, [order], [value], lambda name, found: iter([(name, count([v for (v,) in found]))]), f"{key} {kind}, inversions bigint")
 
 
 def one_sided_verdicts(texts: DataFrame, pool: DataFrame, key: str, text: str, share: float = 0.30) -> DataFrame:
@@ -277,9 +270,10 @@ def footnote_share(pairs: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def beside_visuals(singles: DataFrame, visuals: DataFrame, key: str, slack: int = 1) -> DataFrame:
     """Q4: whether a visual stands within slack of a one-sided pair: same, after, before or none."""
-    near = singles.join(visuals.select(key, F.col("after").alias("_v")), key, "left").withColumn("_d", F.col("_v") - F.col("at"))
-    near = near.groupBy(key, "at").agg(F.min(F.when(F.abs("_d") <= slack, F.struct(F.abs("_d").alias("d"), (-F.col("_d")).alias("s")))).alias("_b"))
-    return near.select(key, "at", F.when(F.col("_b").isNull(), "none").when(F.col("_b.s") == 0, "same").when(F.col("_b.s") < 0, "after").otherwise("before").alias("visual"))
+    near = cells_join(singles.select(key, "at"), visuals.select(key, F.col("after").alias("_v")), [key], "at", "_v", slack)
+    best = near.groupBy(key, "at").agg(F.min(F.struct(F.abs(F.col("_v") - F.col("at")).alias("d"), (F.col("at") - F.col("_v")).alias("s"))).alias("_b"))
+    out = singles.select(key, "at").distinct().join(best, [key, "at"], "left")
+    return out.select(key, "at", F.when(F.col("_b").isNull(), "none").when(F.col("_b.s") == 0, "same").when(F.col("_b.s") < 0, "after").otherwise("before").alias("visual"))
 
 
 def run_kinds(pairs: DataFrame, key: Sequence[str], least: int = 3) -> DataFrame:

@@ -62,7 +62,7 @@ def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, value
     return both.withColumns({value: best["v"], "distance": F.abs(best["at"] - F.col(on))}).drop("_right", "_low", "_high")
 
 
-def band_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str, right_at: str, width: int) -> DataFrame:
+def cells_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str, right_at: str, width: int) -> DataFrame:
     """Pairs whose places differ by `width` at most, through cells of that width."""
     cell = lambda c: F.floor(F.col(c) / (width + 1))
     a = left.withColumn("_cell", F.explode(F.array(cell(left_at) - 1, cell(left_at), cell(left_at) + 1)))
@@ -70,6 +70,9 @@ def band_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_at: str
     return a.join(b, [*by, "_cell"]).where(F.abs(F.col(left_at) - F.col(right_at)) <= width).drop("_cell")
 
 
+band_join = cells_join
+
+
 def dice_lexicon(pairs: DataFrame, left: str, right: str, *, least: int = 2, keep: int = 3) -> DataFrame:
     """From rows with two token arrays, the `keep` counterparts of highest Dice coefficient of each left token.
 
@@ -145,6 +148,14 @@ def note_offsets(pairs: DataFrame, key: Sequence[str], order: str, length: str)
 
 
 def owners(places: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """The span (key, span_id, low, high) that owns each place (key, at); the narrowest one, then the first."""
-    near = places.join(spans, key).where(F.col("at").between(F.col("low"), F.col("high")))
-    return first_of(near, [key, "at"], [F.col("high") - F.col("low"), "span_id"])
+    """The span (key, span_id, low, high) that owns each place (key, at); the narrowest one, then the first.
+
+    Spans are laid over cells whose width doubles up to their own, so a place meets
+    at most the spans of its own cell at each width, not all of its group.
+    """
+    width = F.greatest(F.lit(0), F.ceil(F.log2(F.col("high") - F.col("low") + 1))).cast("int")
+    shift = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_w"))).cast("bigint")
+    laid = spans.withColumn("_w", width).withColumn("_cell", F.explode(F.array_distinct(F.array(shift("low"), shift("high")))))
+    widths = laid.select(key, "_w").distinct()
+    near = places.join(widths, key).withColumn("_cell", shift("at")).join(laid, [key, "_w", "_cell"]).where(F.col("at").between(F.col("low"), F.col("high")))
+    return first_of(near.drop("_w", "_cell"), [key, "at"], [F.col("high") - F.col("low"), "span_id"])

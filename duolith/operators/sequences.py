@@ -117,15 +117,44 @@ def windows(n: Column, *, width: int = 40, overlap: int = 10, whole: int = 80) -
 
 
 def context(pairs: DataFrame, key: Sequence[str], order: str, text: str, side: Column, n: int = 2) -> DataFrame:
-    """The texts of the n rows before and after that have the side."""
-    seen = F.when(side, F.col(text))
+    """The texts of the n rows before and after that have the side, the nearest first.
+
+    The texts of the side are numbered and each row looks up the numbers around its
+    own place, so nothing is held but the rows themselves.
+    """
     w = _w(key, order)
-    return pairs.withColumns(
-        {
-            "before": F.slice(F.reverse(F.collect_list(seen).over(w.rowsBetween(Window.unboundedPreceding, -1))), 1, n),
-            "after_texts": F.slice(F.collect_list(seen).over(w.rowsBetween(1, Window.unboundedFollowing)), 1, n),
-        }
-    )
+    rows = pairs.withColumns({"_in": F.coalesce(side, F.lit(False)).cast("int")}).withColumn("_at", F.sum("_in").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # Of a run without the side each row has the place of the one before it: steps count rows of the side only.
+    seen = rows.where("_in = 1").withColumns({f"_b{d}": F.lag(text, d).over(w) for d in range(n)} | {f"_a{d}": F.lead(text, d).over(w) for d in range(n + 1)})
+    seen = seen.select(*key, F.col("_at").alias("_place"), *[f"_b{d}" for d in range(n)], *[f"_a{d}" for d in range(n + 1)])
+    before = seen.select(*key, (F.col("_place")).alias("_up"), F.filter(F.array(*[f"_b{d}" for d in range(n)]), lambda x: x.isNotNull()).alias("before"))
+    after = seen.select(*key, (F.col("_place") - 1).alias("_at"), F.filter(F.array(*[f"_a{d}" for d in range(n)]), lambda x: x.isNotNull()).alias("after_texts"))
+    out = rows.withColumn("_up", F.col("_at") - F.col("_in")).join(before, [*key, "_up"], "left").join(after, [*key, "_at"], "left")
+    none = F.array().cast("array<string>")
+    return out.select(*pairs.columns, F.coalesce("before", none).alias("before"), F.coalesce("after_texts", none).alias("after_texts"))
+
+
+def split_tail(paras: DataFrame, key: Sequence[str], order: str, text: str, n_notes: Column) -> DataFrame:
+    """The last n_notes paragraphs as notes where there are more paragraphs than that: adds part (body or notes) and the notes' mean likeness."""
+    size, back = F.count("*").over(Window.partitionBy(*key)), F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))
+    rows = paras.withColumn("part", F.when((n_notes > 0) & (size > n_notes) & (back <= n_notes), "notes").otherwise("body"))
+    likeness = F.avg(F.when(F.col("part") == "notes", T.note_likeness(F.col(text)))).over(Window.partitionBy(*key))
+    return rows.withColumn("tail_likeness", F.coalesce(likeness, F.lit(0.0)))
+
+
+def split_detected(paras: DataFrame, key: Sequence[str], order: str, text: str, hint: Column | int = 0) -> DataFrame:
+    """Paragraphs from the detected boundary on are notes: adds part."""
+    cut = note_boundary(paras, key, order, text, hint).select(*key, "boundary")
+    rows = paras.withColumn("_at", F.row_number().over(_w(key, order)) - 1).join(cut, list(key))
+    return rows.withColumn("part", F.when(F.col("_at") >= F.col("boundary"), "notes").otherwise("body")).drop("_at", "boundary")
+
+
+def cut_notes(paras: DataFrame, key: Sequence[str], order: str, text: str, n_notes: Column, *, trust: float = 0.5) -> DataFrame:
+    """Notes by their number where the tail looks like notes, else from the detected boundary on: adds part."""
+    counted = split_tail(paras, key, order, text, n_notes)
+    found = split_detected(paras, key, order, text).select(*key, order, F.col("part").alias("_found"))
+    rows = counted.join(found, [*key, order])
+    return rows.withColumn("part", F.when(F.col("tail_likeness") >= trust, F.col("part")).otherwise(F.col("_found"))).drop("_found", "tail_likeness")
 
 
 def median_outliers(df: DataFrame, key: Sequence[str], value: str, low: float = 0.55, high: float = 1.9) -> DataFrame:

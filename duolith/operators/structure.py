@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_left
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,7 @@ from duolith.functions import kernels as K
 from duolith.functions import text as T
 from duolith.operators import matching
 from duolith.operators import sequences as S
+from duolith.operators.groups import by_both, by_group
 
 # Titles and file names that say what a unit is.
 FRONT_TITLES = ["prologue", "preface", "foreword", "introduction", "editor’s foreword", "editor's foreword", "序言", "前言", "编者序", "引言", "导言"]
@@ -144,24 +149,30 @@ def attach_figures(figures: DataFrame, targets: DataFrame, key: str) -> DataFram
     """Each figure claims a target: by equation number, then caption number, then the nearest within 8, then the next free.
 
     figures and targets: key, idx, eq, cap, pos (eq and cap '' where there is none).
-    A target is claimed once, in the figures' order: key, fig, target.
+    A target is claimed once, in the figures' order: key, fig, target. Wishes are
+    looked up one by one, as most figures get their first.
     """
-    kinds = dict(figures.dtypes)
+    kind = dict(figures.dtypes)[key]
+
+    def run(name, a: list[tuple], b: list[tuple]) -> Iterator[tuple]:
+        places = sorted((pos, idx) for idx, _, _, pos in b)
+        by_number: dict[tuple[str, str], list] = defaultdict(list)
+        for idx, eq, cap, pos in b:
+            by_number["eq", eq].append((pos, idx))
+            by_number["cap", cap].append((pos, idx))
 
-    def run(ids, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a = a.sort_values("idx") if len(a.columns) else pd.DataFrame(columns=["idx", "eq", "cap", "pos"])
-        b = b.sort_values("idx") if len(b.columns) else pd.DataFrame(columns=["idx", "eq", "cap", "pos"])
-        wishes = []
-        for f in a.itertuples():
-            near = b.assign(d=(b["pos"] - f.pos).abs()).sort_values(["d", "idx"])
-            tiers = [near[(near["eq"] == f.eq) & (f.eq != "")], near[(near["cap"] == f.cap) & (f.cap != "")], near[near["d"] <= 8], b]
-            wishes.append([int(i) for t in tiers for i in t["idx"]])
-        rows = [(ids[0], int(i), got) for i, got in zip(a["idx"], K.claim(wishes), strict=True)]
-        return pd.DataFrame(rows, columns=[key, "fig", "target"]).astype({"target": "Int64"})
+        def wishes(eq: str, cap: str, at: int) -> Iterator[int]:
+            for what, no in (("eq", eq), ("cap", cap)):
+                if no:
+                    yield from (i for _, i in sorted((abs(pos - at), i) for pos, i in by_number.get((what, no), ())))
+            near = places[bisect_left(places, (at - 8,)) : bisect_left(places, (at + 9,))]
+            yield from (i for _, i in sorted((abs(pos - at), i) for pos, i in near))
+            yield from (r[0] for r in b)
 
-    from duolith.operators.alignment import fresh
+        for (fig, *_), got in zip(a, K.claim(wishes(eq, cap, pos) for _, eq, cap, pos in a), strict=True):
+            yield name, fig, got
 
-    return figures.groupBy(key).cogroup(fresh(targets).groupBy(key)).applyInPandas(run, f"{key} {kinds[key]}, fig bigint, target bigint")
+    return by_both(figures, targets, key, ["idx"], ["idx", "eq", "cap", "pos"], run, f"{key} {kind}, fig bigint, target bigint")
 
 
 def leading_titles(pairs: DataFrame, heads: DataFrame, key: str) -> DataFrame:
@@ -190,26 +201,45 @@ def unstable_pairs(base: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return a.exceptAll(b).unionByName(b.exceptAll(a)).distinct()
 
 
+#: Places of the histograms of letters that rule pairs of texts out.
+LETTER_BINS = 64
+
+
 def fuzzy_duplicates(texts: DataFrame, key: str, *, threshold: float = 0.75, least_chars: int = 20) -> DataFrame:
     """For each text (key, idx, text) its best like of another place in the group: key, idx, other, ratio.
 
-    Pairs are blocked by length (a half at most apart) through doubling classes, then
-    compared by longest common blocks in Arrow batches.
+    The ratio is that of longest common blocks. Common blocks are common letters, so
+    lengths and then histograms of letters bound it from above; what is left is
+    bounded by the longest common subsequence, and compared in full last. A group's
+    texts stream through one task in order of length, and each meets only those
+    whose length allows a like; nothing is left out.
     """
-    rows = texts.select(key, "idx", "text", F.length("text").alias("n")).where(F.col("n") >= least_chars)
-    size = lambda n: F.floor(F.log(2.0, n)).cast("int")
-    a = rows.select(key, F.col("idx").alias("i"), F.col("text").alias("x"), F.col("n").alias("n_x")).withColumn("_c", F.explode(F.array(*[size("n_x") + d for d in (-1, 0, 1)])))
-    b = rows.select(key, F.col("idx").alias("other"), F.col("text").alias("y"), F.col("n").alias("n_y")).withColumn("_c", size("n_y"))
-    near = a.join(b, [key, "_c"]).where((F.col("i") != F.col("other")) & (F.abs(F.col("n_x") - F.col("n_y")) <= 0.5 * F.greatest("n_x", "n_y")))
-
-    def run(batches):
-        for pdf in batches:
-            out = pdf[[key, "i", "other"]].assign(ratio=[K.ratcliff_from(x, y, threshold) for x, y in zip(pdf["x"], pdf["y"], strict=True)])
-            yield out[out["ratio"].notna()]
-
     kinds = dict(texts.dtypes)
-    scored = near.select(key, "i", "other", "x", "y").mapInPandas(run, f"{key} {kinds[key]}, i {kinds['idx']}, other {kinds['idx']}, ratio double")
-    return matching.first_of(scored, [key, "i"], [F.desc("ratio"), "other"]).withColumnRenamed("i", "idx")
+    rows = texts.select(key, "idx", "text", F.length("text").alias("_n")).where(F.col("_n") >= least_chars)
+
+    def run(name, found: list[tuple]) -> Iterator[tuple]:
+        ids, told, sizes = [r[0] for r in found], [r[1] for r in found], np.array([r[2] for r in found])
+        bins = np.zeros((len(found), LETTER_BINS), dtype=np.int32)
+        for i, t in enumerate(told):
+            bins[i] = np.bincount(np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32) % LETTER_BINS, minlength=LETTER_BINS)
+        best: list[tuple[float, int] | None] = [None] * len(found)
+        keep = lambda i, j, ratio: best[i] is None or (-ratio, ids[j]) < (-best[i][0], ids[best[i][1]])
+        for i in range(len(found)):
+            # 2 * common >= threshold * (n + m), and common <= the shorter's length
+            last = int(np.searchsorted(sizes, sizes[i] * (2 / threshold - 1) + 1e-9, side="right"))
+            common = np.minimum(bins[i], bins[i + 1 : last]).sum(1)
+            for j in (np.flatnonzero(2 * common >= threshold * (sizes[i] + sizes[i + 1 : last])) + i + 1).tolist():
+                a, b = (i, j) if ids[i] < ids[j] else (j, i)
+                ratio = 1.0 if told[i] == told[j] else K.ratcliff_from(told[a], told[b], threshold)
+                if ratio is not None:
+                    for x, y in ((i, j), (j, i)):
+                        if keep(x, y, ratio):
+                            best[x] = ratio, y
+        for i, got in enumerate(best):
+            if got:
+                yield name, ids[i], ids[got[1]], got[0]
+
+    return by_group(rows, key, ["_n", "idx"], ["idx", "text", "_n"], run, f"{key} {kinds[key]}, idx {kinds['idx']}, other {kinds['idx']}, ratio double")
 
 
 def one_sided_kind(t: Column) -> Column:
@@ -240,12 +270,14 @@ def placement(a: DataFrame, b: DataFrame, key: str, number: str, chars: int = 16
 def lines_between(lines: DataFrame, anchors: DataFrame, key: str, most: int = 46) -> DataFrame:
     """Q12: short lines that may be headings between an anchor and the next: key, anchor, pos, text.
 
-    lines: key, pos, text; anchors: key, pos, anchor.
+    lines: key, pos, text; anchors: key, pos, anchor. A line belongs to the last
+    anchor before it; one at an anchor's own place belongs to none.
     """
-    marks = anchors.withColumn("_next", F.lead("pos").over(Window.partitionBy(key).orderBy("pos"))).withColumnRenamed("pos", "_from")
+    marks = anchors.groupBy(key, "pos").agg(F.max("anchor").alias("anchor"))
+    rows = matching.asof_backward(lines, marks, [key], "pos", "anchor").join(marks.select(key, "pos"), [key, "pos"], "left_anti")
     s = T.stripped(F.col("text"))
-    short = lines.where((F.length(s) > 0) & (F.length(s) <= most) & ~s.rlike("^(#|\\$\\$|\\||>|---)") & ~s.rlike("[$\\\\]") & ~s.rlike("[。，；：、.,;:!?！？]$"))
-    return short.join(marks, key).where((F.col("pos") > F.col("_from")) & (F.col("_next").isNull() | (F.col("pos") < F.col("_next")))).select(key, "anchor", "pos", "text")
+    short = (F.length(s) > 0) & (F.length(s) <= most) & ~s.rlike("^(#|\\$\\$|\\||>|---)") & ~s.rlike("[$\\\\]") & ~s.rlike("[。，；：、.,;:!?！？]$")
+    return rows.where(F.col("anchor").isNotNull() & short).select(key, "anchor", "pos", "text")
 
 
 def hint_hits(texts: DataFrame, other: DataFrame, key: str) -> DataFrame:

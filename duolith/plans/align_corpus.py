@@ -19,21 +19,21 @@ def editions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def aligned(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links, with a lexicon learned from a first alignment, and both editions."""
     source, copy = editions(docs)
-    links = alignment.align(corpus.measured(source), corpus.measured(copy), unit="words", k=1.0, **options)
+    links = alignment.align(corpus.measured(source), corpus.measured(copy), unit="words", k=1.0, **({"lexicon": True} | options))
     return links, source, copy
 
 
 def audited(docs: DataFrame) -> DataFrame:
     """Each document's alignment under the calibrated ruler."""
     links, source, copy = aligned(docs)
-    links = links.persist()  # read three times below; arrays of places only, recomputed if lost
-    return audit.audit_calibrated(audit.with_texts(links, source, copy, "doc_id"), ["doc_id"])
+    return audit.audit_calibrated(audit.paired_texts(links, source, copy, "doc_id"), ["doc_id"])
 
 
-def scores_by_language(docs: DataFrame) -> DataFrame:
+def scores_by_language(docs: DataFrame, **options) -> DataFrame:
     """Precision, recall and F1 of found links against gold, by language."""
-    links, _, copy = aligned(docs)
+    links, _, copy = aligned(docs, **options)
     langs = docs.select("doc_id", "lang")
     found = audit.exploded_links(links, "doc_id").join(langs, "doc_id").select("lang", F.concat_ws("/", "doc_id", "src").alias("src"), "tgt")
     gold = corpus.gold_links(copy).join(langs, "doc_id").select("lang", F.concat_ws("/", "doc_id", "src").alias("src"), "tgt")

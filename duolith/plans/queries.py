@@ -11,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from duolith.functions import kernels
 from duolith.functions import text as T
 from duolith.operators import alignment, audit, corpus, matching, usage
 from duolith.operators import sequences as S
 from duolith.operators import structure as B
+from duolith.operators.groups import by_group
 from duolith.plans import align_corpus as A
 from duolith.plans.align_corpus import table
 from duolith.sources import readers
@@ -372,14 +374,14 @@ def claim_reconciliation(spark, sf_dir):
 def inversions(spark, sf_dir):
     """Links of a document that cross."""
     g = gold_links(spark, sf_dir).groupBy("doc_id", "src").agg(F.min("tgt").alias("v"))
-    return audit.inversions(g, ["doc_id"], "src", "v")
+    return audit.inversions(g, "doc_id", "src", "v")
 
 
 @query("WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, value FROM events), i AS (SELECT a.user_id, count(*) AS inversions FROM e a JOIN e b ON a.user_id = b.user_id AND a.n < b.n AND a.value > b.value GROUP BY 1) SELECT DISTINCT e.user_id, coalesce(inversions, 0) AS inversions FROM e LEFT JOIN i USING (user_id)")
 def inversions_of_events(spark, sf_dir):
     """G7 for long groups, counted by merging."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return audit.inversions_merged(table(spark, sf_dir, "events").select("user_id", F.row_number().over(w).alias("n"), "value"), "user_id", "n", "value")
+    return audit.inversions(table(spark, sf_dir, "events").select("user_id", F.row_number().over(w).alias("n"), "value"), "user_id", "n", "value")
 
 
 # ---------------------------------------------------------------- audits and QA
@@ -459,16 +461,24 @@ def run_kinds(spark, sf_dir):
     return audit.run_kinds(diagonal_pairs(spark, sf_dir), ["doc_id"])
 
 
-POOL = "pool AS (SELECT DISTINCT unnest(" + TOKENS.format("text").replace(STOP, "[" + ", ".join(f"'{w}'" for w in T.SIGNAL_STOP) + "]") + ") AS s FROM benchmark)"
+#: F14 as SQL: words, quoted Latin and numbered anchors. Anchors are found by their neighbours, as this dialect cannot look around.
+SIGNAL_STOP = "[" + ", ".join(f"'{w}'" for w in T.SIGNAL_STOP) + "]"
+ANCHORS = r"""list_concat(
+  list_transform(list_filter(regexp_extract_all(' ' || regexp_replace({0}, '([0-9.]*[0-9.])', '  \1  ', 'g') || ' ', ' [0-9.]+ '), lambda x: regexp_matches(x, '^ [0-9]{{1,2}}\.[0-9]{{1,2}}(\.[0-9]{{1,2}})? $')), lambda x: trim(x)),
+  list_transform(list_filter(regexp_extract_all(' ' || regexp_replace({0}, '([\p{{L}}\p{{M}}\p{{N}}_.]+)', '  \1  ', 'g') || ' ', ' [\p{{L}}\p{{M}}\p{{N}}_.]+ '), lambda x: regexp_matches(x, '^ [A-Z]\.[0-9]{{1,2}}(\.[0-9]{{1,2}})? $')), lambda x: trim(x)))"""
+SIGNALS = (
+    "list_distinct(list_concat(list_concat(" + ANCHORS + r""", list_transform(list_filter(list_transform(regexp_extract_all({0}, '[「『"“‘(（]([A-Za-z][A-Za-z0-9 .''\-]{{3,}})[」』"”’）)]', 1), lambda x: lower(trim(x))), lambda x: length(x) >= 4), lambda x: 'q:' || x)),"""
+    " list_transform(list_filter(list_transform(regexp_extract_all({0}, '[A-Za-z]{{4,}}'), lambda x: lower(x)), lambda x: NOT list_contains(" + SIGNAL_STOP + ", x)), lambda x: 'w:' || x)))"
+)
 
 
-@query(f"""WITH {POOL}, d AS (SELECT doc_id, unnest({TOKENS.format('text').replace(STOP, "[" + ", ".join(f"'{w}'" for w in T.SIGNAL_STOP) + "]")}) AS s FROM documents), h AS (SELECT doc_id, count(*) AS n_signals, count(pool.s) AS n_hits FROM d LEFT JOIN pool USING (s) GROUP BY 1)
+@query(f"""WITH pool AS (SELECT DISTINCT unnest({SIGNALS.format('text')}) AS s FROM benchmark), d AS (SELECT doc_id, unnest({SIGNALS.format('text')}) AS s FROM documents),
+ h AS (SELECT doc_id, count(*) AS n_signals, count(pool.s) AS n_hits FROM d LEFT JOIN pool USING (s) GROUP BY 1)
 SELECT documents.doc_id, coalesce(n_signals, 0) AS n_signals, coalesce(n_hits, 0) AS n_hits, CASE WHEN coalesce(n_signals, 0) = 0 THEN 'unsure' WHEN n_hits = 0 THEN 'unique' WHEN n_hits / n_signals >= 0.30 THEN 'misplaced' ELSE 'unsure' END AS verdict FROM documents LEFT JOIN h USING (doc_id)""")
 def signal_verdicts(spark, sf_dir):
-    """documents' words looked up in the benchmark's pool."""
-    word_only = lambda df: df.select(*[c for c in df.columns if c != "text"], F.array_join(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0)), " ").alias("text"))
-    pool = audit.signal_pool(word_only(table(spark, sf_dir, "benchmark").select(F.lit(0).alias("side"), "text")), "side")
-    texts = word_only(docs(spark, sf_dir).select(F.lit(0).alias("side"), "doc_id", "text"))
+    """documents' signals looked up in the benchmark's pool."""
+    pool = audit.signal_pool(table(spark, sf_dir, "benchmark").select(F.lit(0).alias("side"), "text"), "side")
+    texts = docs(spark, sf_dir).select(F.lit(0).alias("side"), "doc_id", "text")
     return audit.one_sided_verdicts(texts, pool, "side", "text").drop("side")
 
 
@@ -503,7 +513,11 @@ def gap_histogram(spark, sf_dir):
 @query(r"""WITH p AS (SELECT regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS plain, doc_id FROM documents) SELECT plain, count(*) AS n, min(doc_id) AS first_doc FROM p GROUP BY 1 HAVING count(*) > 1""")
 def duplicate_texts(spark, sf_dir):
     """Texts that are the same once normalised."""
-    return normalised_texts(spark, sf_dir).groupBy("plain").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+    plain = normalised_texts(spark, sf_dir)
+    keys = [F.xxhash64("plain").alias("h1"), F.xxhash64(F.lit("second"), "plain").alias("h2"), F.length("plain").alias("n_chars")]
+    # Texts shuffle as digests; of each group one text is fetched by its first document.
+    groups = plain.select("doc_id", *keys).groupBy("h1", "h2", "n_chars").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+    return groups.select("n", "first_doc").join(plain.select(F.col("doc_id").alias("first_doc"), "plain"), "first_doc").select("plain", "n", "first_doc")
 
 
 @query(f"""WITH {COPY}, a AS (SELECT DISTINCT unnest({NUMBERS.format('text')}) AS n FROM paras), b AS (SELECT DISTINCT unnest({NUMBERS.format('text')}) AS n FROM copy)
@@ -647,6 +661,16 @@ def aligned_pairs(spark, sf_dir):
     return A.aligned(docs(spark, sf_dir), repair=True)[0]
 
 
+@query(f"""WITH {PARAS} SELECT doc_id, count(*) AS n_links, sum((len([idx]) = 1)::int) AS n_certain, 0 AS n_skewed FROM paras GROUP BY 1""")
+def alignment_of_copies(spark, sf_dir):
+    """Documents aligned with unchanged copies: every paragraph meets itself with certainty, and nothing is skewed."""
+    p = paras(spark, sf_dir)
+    links = alignment.align(p, p, unit="words", k=1.0, repair=True)
+    skew = (F.col("r") < 0.65) | (F.col("r") > 1.62)
+    counted = lambda flag: F.count_if(flag & (F.col("src") == F.col("tgt")))
+    return links.groupBy("doc_id").agg(F.count("*").alias("n_links"), counted(F.col("c") == 1.0).alias("n_certain"), F.count_if(skew & (F.col("c") < 1)).alias("n_skewed"))
+
+
 @query()
 def alignment_scores(spark, sf_dir):
     """Alignment against gold by language."""
@@ -663,52 +687,68 @@ def alignment_audit(spark, sf_dir):
 def probe_votes(spark, sf_dir):
     """Votes on surplus paragraphs, where the copy is the source."""
     a, b = A.editions(docs(spark, sf_dir))
-    return alignment.probe_votes(b, a, unit="words", k=1.25)
+    return alignment.probe_votes(b, a, unit="words", k=1.0)
 
 
-@query()
+@query(f"""WITH {PARAS}, a AS (SELECT doc_id AS book, idx AS i, {words('text')} AS w FROM paras) SELECT book, i AS src_ord, i AS tgt_ord FROM a""")
 def document_match(spark, sf_dir):
-    """Documents of each source matched in order with a copy that lacks some."""
-    d = docs(spark, sf_dir).select("source", F.col("doc_id").alias("doc_ord"), T.en_words(F.col("text")).cast("double").alias("mass"))
-    return alignment.match_documents(d, d.where("doc_ord % 17 != 0"), "source")
+    """Documents of each book matched in order by length; here the books are documents and their chapters are paragraphs, against themselves."""
+    d = paras(spark, sf_dir).select(F.col("doc_id").alias("book"), F.col("idx").cast("bigint").alias("doc_ord"), T.en_words(F.col("text")).cast("double").alias("mass"))
+    return alignment.match_documents(d, d, "book")
 
 
-@query()
+@query(f"""WITH {PARAS}, s AS (SELECT DISTINCT doc_id, idx // 4 AS sec FROM paras) SELECT doc_id, count(*) AS n_pairs, sum((src = tgt)::int) AS n_same FROM (SELECT doc_id, sec AS src, sec AS tgt FROM s) GROUP BY 1""")
 def section_match(spark, sf_dir):
-    """Sections of both editions matched by their paragraphs."""
+    """Sections matched by their paragraphs; here of documents with themselves, where every section must meet itself."""
+    cut = paras(spark, sf_dir).withColumn("sec", F.floor(F.col("idx") / 4).cast("int"))
+    found = alignment.match_sections(cut, cut, "doc_id", unit="words", k=1.0)
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_pairs"), F.count_if(F.col("src_secs") == F.col("tgt_secs")).alias("n_same"))
+
+
+@query()
+def section_links(spark, sf_dir):
+    """Sections of both editions."""
     a, b = A.editions(docs(spark, sf_dir))
     cut = lambda df: df.withColumn("sec", F.floor(F.col("idx") / 4).cast("int"))
-    return alignment.match_sections(cut(a), cut(b), "doc_id", unit="words")
+    return alignment.match_sections(cut(a), cut(b), "doc_id", unit="words", k=1.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {COPY}, a AS (SELECT doc_id, min(idx) AS i, length(text) % 100 AS mark FROM paras WHERE length(text) >= 4 GROUP BY doc_id, mark HAVING count(*) = 1),
+ b AS (SELECT doc_id, min(idx) AS j, length(text) % 100 AS mark FROM copy WHERE length(text) >= 4 GROUP BY doc_id, mark HAVING count(*) = 1),
+ p AS (SELECT doc_id, i, j, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS n FROM a JOIN b USING (doc_id, mark)),
+ g AS (SELECT doc_id, n, i, j, j AS top, true AS kept FROM p WHERE n = 1 UNION ALL SELECT p.doc_id, p.n, p.i, p.j, greatest(g.top, p.j), p.j > g.top FROM g JOIN p ON p.doc_id = g.doc_id AND p.n = g.n + 1)
+SELECT doc_id, i, j FROM g WHERE kept""")
 def unique_anchors(spark, sf_dir):
-    """Enumerators that occur once on each side."""
+    """Enumerators that occur once on each side, kept while they increase."""
     a, b = A.editions(docs(spark, sf_dir))
     marked = lambda df: df.withColumn("text", F.concat(F.lit("("), (F.length("text") % 100).cast("string"), F.lit(") "), "text"))
     return alignment.unique_anchors(marked(a), marked(b), "doc_id")
 
 
+@query(f"""WITH {COPY}, a AS (SELECT doc_id, idx AS i, {words('text')} AS w, {NUMBERS.format('text')} AS s FROM paras), b AS (SELECT doc_id, idx AS j, {words('text')} AS w, {NUMBERS.format('text')} AS s FROM copy)
+SELECT a.doc_id, i, j, len(list_intersect(a.s, b.s)) AS shared FROM a JOIN b ON a.doc_id = b.doc_id AND abs(i - j) <= 3 WHERE abs(ln((b.w + 1) / (a.w + 1))) <= 0.30 AND len(list_intersect(a.s, b.s)) > 0""")
+def anchor_candidates(spark, sf_dir):
+    """Pairs in the band with like lengths and a number in common, before any choice."""
+    a, b = A.editions(docs(spark, sf_dir))
+    return alignment.anchor_candidates(corpus.measured(a), corpus.measured(b), "doc_id")
+
+
 @query()
 def soft_anchors(spark, sf_dir):
-    """Pairs in the band with like lengths and a number in common."""
+    """Increasing anchors by lengths and numbers, Latin words or sentence curves; tests hold them against the rule read directly."""
     a, b = A.editions(docs(spark, sf_dir))
-    return alignment.soft_anchors(corpus.measured(a), corpus.measured(b), "doc_id").select("doc_id", "i", "j", "shared")
+    return alignment.soft_anchors(a, b, "doc_id", unit="words", k=1.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {PARAS}, p AS (SELECT doc_id, idx, octet_length(encode(text)) AS n FROM paras),
+ b AS (SELECT doc_id, idx, n AS held, 0 AS bin FROM p WHERE idx = 0 UNION ALL SELECT p.doc_id, p.idx, CASE WHEN b.held > 0 AND b.held + p.n > 4096 THEN p.n ELSE b.held + p.n END, CASE WHEN b.held > 0 AND b.held + p.n > 4096 THEN b.bin + 1 ELSE b.bin END FROM b JOIN p ON p.doc_id = b.doc_id AND p.idx = b.idx + 1),
+ l AS (SELECT doc_id, max(bin) AS last, arg_max(held, idx) AS tail FROM b GROUP BY 1)
+SELECT doc_id, idx, CASE WHEN last > 0 AND tail < 1024 AND bin = last THEN bin - 1 ELSE bin END AS bin FROM b JOIN l USING (doc_id)""")
 def byte_bins(spark, sf_dir):
     """K4: lines of each document packed in order into bins of bytes."""
-    import pandas as pd
-
-    from duolith.functions import kernels
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "idx": pdf["idx"], "bin": kernels.pack_next(pdf["n"].tolist(), 4096, 1024)})
-
     rows = paras(spark, sf_dir).select("doc_id", "idx", F.octet_length("text").alias("n"))
-    return rows.groupBy("doc_id").applyInPandas(run, "doc_id bigint, idx int, bin int")
+    step = lambda name, found: ((name, r[0], b) for r, b in zip(found, kernels.pack_next([r[1] for r in found], 4096, 1024), strict=True))
+    return by_group(rows, "doc_id", ["idx"], ["idx", "n"], step, "doc_id bigint, idx int, bin int")
 
 
 # ---------------------------------------------------------------- usage

@@ -9,9 +9,11 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructType
 
 from duolith.functions import markup
 from duolith.functions import text as T
@@ -73,18 +75,20 @@ def html_blocks(pages: DataFrame, key: list[str], html: str) -> DataFrame:
     names = [c.split()[0] for c in BLOCKS.split(", ")]
     kinds = dict(pages.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in key) + ", " + BLOCKS
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                blocks = markup.parse_blocks(row[-1]) if row[-1] else []
-                if blocks:
-                    out = pd.DataFrame(blocks)[names]
-                    for i, k in enumerate(key):
-                        out.insert(i, k, row[i])
-                    yield out
-
-    return pages.select(*key, html).mapInPandas(run, schema)
+    types = to_arrow_schema(StructType.fromDDL(BLOCKS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, rows = [], []
+            for i, page in enumerate(batch.column(len(key)).to_pylist()):
+                blocks = markup.parse_blocks(page) if page else []
+                own += [i] * len(blocks)
+                rows += blocks
+            keys = [batch.column(i).take(pa.array(own, pa.int64())) for i in range(len(key))]
+            made = [pa.array([r[f.name] for r in rows], f.type) for f in types]
+            yield pa.RecordBatch.from_arrays([*keys, *made], names=[*key, *names])
+
+    return pages.select(*key, html).mapInArrow(run, schema)
 
 
 def epub_blocks(parts: DataFrame) -> DataFrame:
