@@ -235,10 +235,8 @@ def numbered_anchors(t: Column) -> Column:
     half = F.translate(_text(t), "０１２３４５６７８９（）．－", "0123456789().-")
     two = "([0-9]{1,2})[-.]?([0-9]{1,3})?"
     kinds = [("eqn", f"(?:式|(?i:eq(?:uation|n)?s?\\.?))\\s*\\(?\\s*{two}"), ("fig", f"(?:图|(?i:fig(?:ure)?s?\\.?))\\s*{two}"), ("chap", "(?:第\\s*|(?i:chapters?)\\s*)([0-9]{1,2})()"), ("ex", f"(?:练习|(?i:exercises?))\\s*{two}")]
-    found = []
-    for kind, pattern in kinds:
-        a, b = _all(half, pattern, 1), _all(half, pattern, 2)
-        found.append(F.zip_with(a, b, lambda x, y, kind=kind: F.concat(F.lit(f"{kind}:"), x, F.when(y == "", "").otherwise(F.concat(F.lit("-"), y)))))
+    label = lambda kind: lambda x, y: F.concat(F.lit(f"{kind}:"), x, F.when(y == "", "").otherwise(F.concat(F.lit("-"), y)))
+    found = [F.zip_with(_all(half, pattern, 1), _all(half, pattern, 2), label(kind)) for kind, pattern in kinds]
     return F.array_sort(F.array_distinct(F.concat(*found)))
 
 

@@ -639,13 +639,6 @@ def one_sided_kinds(spark, sf_dir):
     return lone.groupBy(B.one_sided_kind(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query()
-def unit_kinds(spark, sf_dir):
-    """What kind of unit each page's title opens."""
-    t = title_rows(spark, sf_dir).where("src = 'title'")
-    return t.select("file", B.unit_kind(F.col("text"), F.lit("")).alias("k")).select("file", "k.*")
-
-
 @query()
 def fuzzy_paragraphs(spark, sf_dir):
     """Paragraphs of a document that nearly repeat one another."""

@@ -22,7 +22,11 @@ from duolith.schema import BLOCKS
 
 
 def epub_parts(spark: SparkSession, path: str) -> DataFrame:
-    """Members of EPUB files: book, path, content, length. One file is one task's unit; a member is one row."""
+    return parts_of(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def parts_of(files: DataFrame) -> DataFrame:
+    """Members of EPUB files (path, content): book, path, content, length. One file is one task's unit; a member is one row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -33,8 +37,7 @@ def epub_parts(spark: SparkSession, path: str) -> DataFrame:
                             data = z.read(info)
                             yield pd.DataFrame({"book": [book], "path": [info.filename], "content": [data], "length": [len(data)]})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "book string, path string, content binary, length bigint")
+    return files.select("path", "content").mapInPandas(run, "book string, path string, content binary, length bigint")
 
 
 def _text_of(content: Column) -> Column:
@@ -162,7 +165,7 @@ def toc_entries(nav: DataFrame) -> DataFrame:
 
     Depth is the number of lists open at an entry.
     """
-    tokens = F.regexp_extract_all("html", F.lit("(?is)<ol\\b[^>]*>|</ol\\s*>|<navPoint\\b[^>]*>|</navPoint\\s*>|<a\\b[^>]*href\\s*=\\s*\"[^\"]*\"[^>]*>.*?</a>|<text>.*?</text>\\s*</navLabel>\\s*<content\\b[^>]*>"), F.lit(0))
+    tokens = F.regexp_extract_all("html", F.lit("(?is)<ol\\b[^>]*>|</ol\\s*>|<navPoint\\b[^>]*>|</navPoint\\s*>|<a\\b[^>]*href\\s*=\\s*\"[^\"]*\"[^>]*>.*?</a>|<text>[^<]*</text>\\s*</navLabel>\\s*<content\\b[^>]*>"), F.lit(0))
     rows = nav.select("book", F.posexplode(tokens).alias("pos", "t"))
     step = F.when(F.col("t").rlike("(?i)^<(ol|navPoint)"), 1).when(F.col("t").rlike("(?i)^</(ol|navPoint)"), -1).otherwise(0)
     w = Window.partitionBy("book").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -215,21 +218,36 @@ def preferred(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
 
 
 def sentence_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """A TSV of sentence pairs: tgt, src, empty (whether a cell is empty, so that such rows can be counted and left out)."""
+    return sentence_pairs_of(spark.read.text(path))
+
+
+def sentence_pairs_of(lines: DataFrame) -> DataFrame:
+    """A TSV of sentence pairs (value): tgt, src, empty (whether a cell is empty, so that such rows can be counted and left out)."""
     cells = F.split("value", "\t", -1)
-    rows = spark.read.text(path).select(F.coalesce(F.get(cells, 0), F.lit("")).alias("tgt"), F.coalesce(F.get(cells, 1), F.lit("")).alias("src"))
+    rows = lines.select(F.coalesce(F.get(cells, 0), F.lit("")).alias("tgt"), F.coalesce(F.get(cells, 1), F.lit("")).alias("src"))
     return rows.withColumn("empty", (F.trim("tgt") == "") | (F.trim("src") == ""))
 
 
 def gold_list(spark: SparkSession, path: str) -> DataFrame:
-    """Lines seq|L<level>|F or blank|text; comment lines are left out."""
-    rows = spark.read.text(path).where("value not like '#%' and trim(value) != ''").select(F.split("value", "\\|", 4).alias("p")).where(F.size("p") == 4)
+    return gold_rows(spark.read.text(path))
+
+
+def gold_rows(lines: DataFrame) -> DataFrame:
+    """Lines (value) seq|L<level>|F or blank|text; comment lines are left out."""
+    rows = lines.where("value not like '#%' and trim(value) != ''").select(F.split("value", "\\|", 4).alias("p")).where(F.size("p") == 4)
     return rows.select(F.trim(F.col("p")[0]).cast("int").alias("seq"), F.regexp_extract(F.col("p")[1], "([0-9]+)", 1).cast("int").alias("level"), (F.trim(F.col("p")[2]) == "F").alias("front"), F.trim(F.col("p")[3]).alias("text"))
 
 
+TRACE = "t string, kind string, hit int, in_tok bigint, out_tok bigint, srv_cache bigint, n bigint, drop bigint, n_vis bigint, broken string"
+
+
 def trace(spark: SparkSession, path: str, low: str = "", high: str = "~") -> DataFrame:
-    """A JSON-lines log between two times as text; broken lines are left out."""
-    rows = spark.read.schema("t string, kind string, hit int, in_tok bigint, out_tok bigint, srv_cache bigint, n bigint, drop bigint, n_vis bigint, broken string").option("columnNameOfCorruptRecord", "broken").json(path)
+    return trace_rows(spark.read.text(path), low, high)
+
+
+def trace_rows(lines: DataFrame, low: str = "", high: str = "~") -> DataFrame:
+    """A JSON-lines log (value) between two times as text; broken lines are left out."""
+    rows = lines.select(F.from_json("value", TRACE, {"columnNameOfCorruptRecord": "broken"}).alias("r")).select("r.*")
     return rows.where(F.col("broken").isNull() & F.col("t").between(low, high)).drop("broken")
 
 
