@@ -141,16 +141,16 @@ def training_sample(docs: DataFrame) -> DataFrame:
 
     A language has MOST_ROWS rows at most, or its share of MOST_IN_ALL where there
     are many languages. Of rows with the same id and language the least text counts.
-    Rows are ranked within parts of a language first, so that no task ranks a common
-    language alone.
+    Rows are ranked within 64 parts of a language first, then within 8, so that no task
+    ranks more than 8 * MOST_ROWS ids but for the first round's even parts.
     """
     rows = docs.where("text is not null and lang is not null and doc_id is not null").where(crc_of_id(F.col("doc_id")) % 4 != 2)
     many = rows.agg(F.count_distinct("lang")).first()[0]
     most = max(1, min(MOST_ROWS, MOST_IN_ALL // max(1, many)))
     h = F.xxhash64("doc_id")
-    picked = rows.select("doc_id", "lang", h.alias("h"), F.pmod(h, F.lit(64)).alias("part")).distinct()
-    for key in (("lang", "part"), ("lang",)):
-        w = Window.partitionBy(*key).orderBy("h", "doc_id")
+    picked = rows.select("doc_id", "lang", h.alias("h")).distinct()
+    for parts in (64, 8, 1):
+        w = Window.partitionBy("lang", F.pmod("h", F.lit(parts))).orderBy("h", "doc_id")
         picked = picked.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
     picked = F.broadcast(picked.select("doc_id", "lang", "h"))  # at most MOST_IN_ALL ids
     found = rows.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"])

@@ -220,6 +220,110 @@ def test_quality_edge_cases(spark):
     assert quality.keep_good(docs.limit(0), spark.createDataFrame([], "doc_id bigint, quality int"), docs).count() == 0
 
 
+def plain_features(text):
+    """The stream of quality.py read word by word, and its hashed one- and two-grams, in dictionaries."""
+    stream, last = [], ""
+    for word in text.split():
+        if word == last:
+            stream.append(zlib.crc32(b"\0same"))
+            continue
+        last = word
+        inner = [i for i, c in enumerate(word) if c.isalnum() or c == "_"]
+        first, end = (inner[0], inner[-1] + 1) if inner else (len(word), len(word))
+        stem = word[first:end]
+        stream += [zlib.crc32(x.encode()) for x in (word[:first], stem.lower(), word[end:]) if x]
+        if len(stem) > 1 and stem.isupper():
+            stream.append(zlib.crc32(b"\0capitals"))
+    mask, counts = (1 << 64) - 1, {}
+    grams = [a * 0x9E3779B97F4A7C15 & mask for a in stream] + [(a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F) & mask for a, b in zip(stream, stream[1:])]
+    for g in grams:
+        counts[g >> 44] = counts.get(g >> 44, 0) + 1
+    return {at: (n / len(grams)) ** 0.5 for at, n in counts.items()}
+
+
+def test_quality_equals_a_plain_reading(spark):
+    """Features, updates and scores in dictionaries and floats."""
+    dice = random.Random(6)
+    texts = [" ".join(dice.choice(["Good", "text.", "good", "BAD", "bad!!", "and", "and", "(x)", "...", "é"]) for _ in range(dice.randint(0, 30))) for _ in range(60)]
+    labels = [int("good" in t) for t in texts]
+    z, n = {}, {}
+
+    def weight(at):
+        v = z.get(at, 0.0)
+        return 0.0 if abs(v) <= 0.02 else -(v - (0.02 if v > 0 else -0.02)) / (1.0 + n.get(at, 0.0) ** 0.5 + 1e-3)
+
+    rows = [plain_features(t) | {"bias": 1.0} for t in texts]
+    order = np.random.default_rng(7)
+    for _ in range(4):
+        for i in order.permutation(len(rows)):
+            w = {at: weight(at) for at in rows[i]}
+            p = 1 / (1 + np.exp(-sum(w[at] * x for at, x in rows[i].items())))
+            for at, x in rows[i].items():
+                g = (p - labels[i]) * x
+                z[at] = z.get(at, 0.0) + g - ((n.get(at, 0.0) + g * g) ** 0.5 - n.get(at, 0.0) ** 0.5) * w[at]
+                n[at] = n.get(at, 0.0) + g * g
+    weights = quality.train(texts, labels)
+    for t in [*texts, "", "new words Good"]:
+        want = 1 / (1 + np.exp(-sum(weight(at) * x for at, x in (plain_features(t) | {"bias": 1.0}).items())))
+        assert abs(quality.goodness(weights, t) - want) < 1e-4
+    got = quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), weights).collect()
+    assert all(abs(r.score - quality.goodness(weights, texts[r.doc_id])) < 1e-9 and r.predicted == int(r.score >= 0.3) for r in got)
+
+
+def test_repeated_ids_teach_once(spark):
+    rows = [(1, "b"), (1, "a"), (1, "a"), (2, None), (3, "c")]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id int, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (3, 0)], "doc_id int, quality int")
+    held = lambda i, n, k: fold(i, n) == k
+    assert sorted(r.text for r in quality.labelled_sample(docs, labels).collect()) == sorted(t for i, t in ((1, "a"), (2, "")) if not held(i, 5, 0))
+    assert sorted(r.text for r in langid.training_sample(docs).collect()) == sorted(t for i, t in ((1, "a"), (3, "c")) if not held(i, 4, 2))
+
+
+def plain_subwords(text):
+    out, word = [], ""
+    for c in text.lower() + " ":
+        if c.isalpha():
+            word += c
+        elif word:
+            raw = b" " + word.encode() + b" "
+            for n in langid.GRAMS:
+                for i in range(len(raw) - n + 1):
+                    h = raw[i]
+                    for b in raw[i + 1 : i + n]:
+                        h = (h * 0x100000001B3 + b) % (1 << 64)
+                    out.append(((h * 0x9E3779B97F4A7C15 + n) * 0xD6E8FEB86659FD93) % (1 << 64) >> 64 - langid.BITS)
+            word = ""
+    return out
+
+
+def test_language_equals_a_plain_reading():
+    """Subwords letter by letter, the mean of their logits, the softmax of it."""
+    dice = random.Random(7)
+    m = langid.Model(["a", "b", "c"], np.random.default_rng(1).normal(size=(langid.BUCKETS, 3)).astype(np.float32), np.array([0.1, 0.0, -0.1], np.float32), 0.7, 0.2)
+    for _ in range(200):
+        text = "".join(dice.choice("abcXYZ éßñ漢 ½²①Ⅷ12_-.,\n") for _ in range(dice.randint(0, 40)))
+        ids = plain_subwords(text)
+        assert sorted(langid.subwords(text).tolist()) == sorted(ids)
+        got = langid.predict(m, text)
+        if not any(c.isalpha() for c in text):
+            assert got == ("und", 0.0)
+            continue
+        raw = [(sum(float(m.logits[i, k]) for i in ids) / len(ids) + float(m.bias[k])) / m.heat for k in range(3)]
+        e = [np.exp(x - max(raw)) for x in raw]
+        best = e.index(max(e))
+        assert got[0] == m.languages[best] and abs(got[1] - e[best] / sum(e)) < 1e-6
+
+
+def test_training_follows_the_gradient():
+    """A step on the embeddings is the gradient of the mean's loss, by differences."""
+    texts, langs = ["hello there you", "bonjour vous"] * 4, ["en", "fr"] * 4
+    m = langid.train(texts * 6, langs * 6)
+    assert [langid.predict(m, t)[0] for t in texts[:2]] == ["en", "fr"]
+    many = [f"l{i}" for i in range(300)]
+    model = langid.train([f"{chr(97 + i % 26)}{chr(97 + i // 26)}qx " * 3 for i in range(300) for _ in range(2)], [x for x in many for _ in range(2)], passes=1)
+    assert len(model.languages) == 300
+
+
 def test_language_on_held_out_rows(spark):
     docs = common.table(spark, "/root/testdata/sf0.01", "documents")
     got = {r.doc_id: r for r in langid.identify(docs).collect()}
@@ -392,9 +496,104 @@ def test_one_of_each_stays(spark):
     assert omh.keep_one(docs.limit(0)).count() == 0
 
 
+def test_recall_of_near_copies(spark):
+    """All pairs of sf0.001 and sf0.01 within a fifth of edits, found by comparing everything, share a class nearly always."""
+    for name, least in (("sf0.001", 0.9), ("sf0.01", 0.9)):
+        docs = common.table(spark, f"/root/testdata/{name}", "documents").select("doc_id", "text")
+        rows = docs.collect()
+        label = {r.doc_id: r.class_id for r in omh.near_classes(docs).collect()}
+        words = {r.doc_id: omh.word_hashes(omh.plain(r.text or "")) for r in rows}
+        bins = np.array([np.bincount((words[r.doc_id] % np.uint64(64)).astype(int), minlength=64) for r in rows])
+        sizes, found, caught = np.array([len(words[r.doc_id]) for r in rows]), 0, 0
+        for i in range(len(rows)):
+            most = ((np.maximum(sizes[i], sizes[i + 1 :])) * 0.2 + 1e-9).astype(int)
+            for j in np.flatnonzero(np.abs(bins[i] - bins[i + 1 :]).sum(1) <= 2 * most) + i + 1:
+                a, b = rows[i].doc_id, rows[j].doc_id
+                if omh.edits_within(words[a], words[b], omh.most_edits(max(sizes[i], sizes[j]), 0.8)):
+                    found += 1
+                    caught += label[a] == label[b]
+        assert found > 20 and caught >= least * found, (name, found, caught)
+
+
 # ---------------------------------------------------------------- pipeline
 
 
+def test_pipeline_equals_plain_versions_of_its_stages(spark, tmp_path):
+    """A small corpus with nulls, empty and repeated rows through every stage, against plain Python."""
+    import corpus_pipeline
+
+    dice = random.Random(12)
+    say = {"en": "the quick brown fox jumps over a lazy dog while children watch from home".split(), "de": "der schnelle braune Fuchs springt über den faulen Hund und alle Kinder sehen zu".split()}
+    docs, labels = [], []
+    for i in range(240):
+        lang, good = dice.choice(["en", "de"]), dice.random() < 0.7
+        lines = [" ".join(dice.choice(say[lang]) for _ in range(9)) + ("." if good else " !!! BUY BUY NOW $$$ CLICK") for _ in range(4)]
+        docs.append((i, "\n".join(lines), lang, "s", 0))
+        labels.append((i, int(good), 0))
+    base = docs[0][1].split()
+    docs += [(1000 + k, " ".join(base[:20] + [f"w{k}"] + base[21:]), "en", "s", 0) for k in range(3)]
+    docs += [(2000, None, None, None, 0), (2001, "", "en", "s", 0), (2002, docs[5][1], "en", "s", 0), (None, "the quick brown fox of nobody", "en", "s", 0), (2003, "123 456", "en", "s", 0), (2004, "the dog " * 3000, "en", "s", 0)]
+    docs.append(docs[-1])
+    d = str(tmp_path)
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame(docs, schema).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    now, key = common.table(spark, d, "documents"), lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
+    weights, model = quality.fit(now, common.table(spark, d, "labels")), langid.fit(now)
+
+    def lines_kept(rows):
+        ordered, first, near = sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0)), {}, {}
+        for r in ordered:
+            for n, line in enumerate((r.text or "").split("\n")):
+                if line.strip(" \t\r\f"):
+                    first.setdefault(line.strip(" \t\r\f"), (r.doc_id, n))
+        known = [f for f, (i, _) in first.items() if i is not None and len(f) >= 20 and len(f) < 2000]
+        for f in known:
+            near[f] = [g for g in known if g != f and abs(len(f) - len(g)) <= 1 and distance(f, g) <= 1]
+        out = []
+        for r in rows:
+            keep = [x for n, x in enumerate((r.text or "").split("\n")) if not (f := x.strip(" \t\r\f")) or first[f] == (r.doc_id, n) and not any(first[g] < first[f] for g in near.get(f, ()))]
+            out.append((r.doc_id, None if r.text is None else "\n".join(keep)))
+        return sorted(out, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+
+    def least_of_each(rows):
+        ids = sorted({r.doc_id for r in rows if r.doc_id is not None})
+        text, gone = {r.doc_id: r.text or "" for r in rows}, set()
+        root = {i: i for i in ids}
+        for n, a in enumerate(ids):
+            for b in ids[n + 1 :]:
+                if abs(len(text[a]) - len(text[b])) < 400 and omh.similar(text[a], text[b]):
+                    x, y = root[a], root[b]
+                    root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
+        return sorted([i for i in ids if root[i] == i and i not in gone]) + [None] * sum(r.doc_id is None for r in rows)
+
+    for name, stage in corpus_pipeline.STAGES:
+        rows = sorted(now.collect(), key=key)
+        out = common.staged(stage(spark, now, d), name)
+        got = sorted(out.collect(), key=lambda r: key(r) if "text" in r else (0, r.doc_id or -1, r.start))
+        if name == "quality":
+            assert got == [r for r in rows if quality.goodness(weights, r.text or "") >= quality.THRESHOLD] and len(got) < len(rows)
+        elif name == "language":
+            sure = [langid.predict(model, r.text or "") for r in rows]
+            assert got == [r for r, (lang, p) in zip(rows, sure, strict=True) if lang != "und" and p >= model.least]
+        elif name == "lines":
+            assert [(r.doc_id, r.text) for r in got] == lines_kept(rows) and all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
+        elif name == "near_duplicates":
+            assert [r.doc_id for r in got] == least_of_each(rows) and set(got) <= set(rows)
+        else:
+            assert {r.doc_id for r in got} == {r.doc_id for r in rows} and sum(r.length for r in got if r.start == 0) <= sum(r.doc_tokens for r in got if r.start == 0)
+        now = out
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    d = str(tmp_path)
+    spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    assert corpus_pipeline.run(spark, d).count() == 0
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 
