@@ -90,6 +90,27 @@ def book_contents_of_older_readers(spark, sf_dir):
     return t.select("book", (F.row_number().over(Window.partitionBy("book").orderBy("pos")) - 1).alias("n"), "title", "file", F.col("level").cast("int").alias("level"))
 
 
+@query(f"WITH {CHAPTERS} SELECT book, ord AS n, 'Document & ' || doc_id AS title, CASE WHEN ord % 3 = 0 THEN 1 ELSE 2 END AS level FROM ch")
+def nested_contents(spark, sf_dir):
+    """Contents of two levels, written and read back."""
+    c = chapters(spark, sf_dir).withColumns({"level": F.when(F.col("chapter_ord") % 3 == 0, 1).otherwise(2), "html": F.lit("")})
+    p = readers.parts_of(writers.epubs(c).select(F.col("book").alias("path"), "content"))
+    t = readers.toc_entries(p.where("path = 'OEBPS/nav.xhtml'").select("book", F.decode("content", "UTF-8").alias("html")))
+    return t.select("book", (F.row_number().over(Window.partitionBy("book").orderBy("pos")) - 1).alias("n"), "title", F.col("level").cast("int").alias("level"))
+
+
+@query(f"""WITH {PARAS}, e AS (SELECT doc_id, idx, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t FROM paras),
+ h AS (SELECT doc_id, string_agg(CASE WHEN idx % 4 = 1 THEN '<figure><img src="i' || idx || '.png" alt=""/><figcaption>Figure ' || idx || '</figcaption></figure>' WHEN idx % 4 = 2 THEN '<div class="pair"><h3 class="src">' || t || '</h3></div>' ELSE '<div class="pair"><p class="src">' || t || '</p></div>' END, chr(10) ORDER BY idx) AS html, count(*) AS n_pairs, bool_or(idx >= 3) AS noted FROM e GROUP BY 1)
+SELECT doc_id, html || CASE WHEN noted THEN chr(10) || '<section class="notes"><ol><li id="note_1">one &amp; all</li></ol></section>' ELSE '' END AS html, n_pairs FROM h""")
+def rendered_chapters(spark, sf_dir):
+    """O3: chapters with headings, figures and notes."""
+    k = F.col("idx")
+    p = paras(spark, sf_dir)
+    pairs = p.select("doc_id", k.alias("pair_idx"), F.col("text").alias("src_text"), F.lit("").alias("tgt_text"), F.when(k % 4 == 2, 2).alias("level"), F.when(k % 4 == 1, F.concat(F.lit("i"), k.cast("string"), F.lit(".png"))).alias("image"), F.concat(F.lit("Figure "), k.cast("string")).alias("caption"))
+    notes = p.where("idx = 3").select("doc_id", F.lit(1).alias("num"), F.lit("one & all").alias("text"))
+    return writers.chapter_html(pairs, ["doc_id"], notes=notes)
+
+
 @query(f"WITH {CHAPTERS} SELECT DISTINCT book, book AS title, 'en' AS language, 'duolith' AS identifier, CAST(NULL AS varchar) AS creator FROM ch")
 def book_metadata(spark, sf_dir):
     """Metadata of the packages."""

@@ -19,22 +19,40 @@ def shown_target(pairs: DataFrame) -> Column:
 
 
 def pair_html(pairs: DataFrame, *, target_first: bool = False) -> DataFrame:
-    """Each pair as a div of its source and target paragraphs; sides that are missing are left out."""
-    side = lambda c, cls: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f'<p class="{cls}">'), T.escaped(c), F.lit("</p>")))
+    """Each pair as a div of its source and target paragraphs; sides that are missing are left out.
+
+    Where pairs have them, a level above 0 makes headings of both sides, and an image
+    (its path) with a caption makes a figure.
+    """
+    have = set(pairs.columns)
+    level = F.coalesce("level", F.lit(0)) if "level" in have else F.lit(0)
+    name = F.when(level > 0, F.concat(F.lit("h"), F.least(level + 1, F.lit(6)).cast("string"))).otherwise("p")
+    side = lambda c, cls: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit("<"), name, F.lit(f' class="{cls}">'), T.escaped(c), F.lit("</"), name, F.lit(">")))
     s, t = side(F.col("src_text"), "src"), side(shown_target(pairs), "tgt")
-    return pairs.withColumn("html", F.concat(F.lit('<div class="pair">'), F.concat_ws("", *((t, s) if target_first else (s, t))), F.lit("</div>")))
+    html = F.concat(F.lit('<div class="pair">'), F.concat_ws("", *((t, s) if target_first else (s, t))), F.lit("</div>"))
+    if "image" in have:
+        caption = T.escaped(F.coalesce("caption", F.lit(""))) if "caption" in have else F.lit("")
+        figure = F.concat(F.lit('<figure><img src="'), T.escaped(F.col("image")), F.lit('" alt=""/><figcaption>'), caption, F.lit("</figcaption></figure>"))
+        html = F.when(F.coalesce("image", F.lit("")) != "", figure).otherwise(html)
+    return pairs.withColumn("html", html)
 
 
-def chapter_html(pairs: DataFrame, key: list[str], **options) -> DataFrame:
-    """O3: pairs of each chapter joined in order: key, html, n_pairs."""
+def chapter_html(pairs: DataFrame, key: list[str], *, notes: DataFrame | None = None, **options) -> DataFrame:
+    """O3: pairs of each chapter joined in order: key, html, n_pairs; notes (key, num, text) follow as a numbered list."""
     rows = pair_html(pairs, **options)
     parts = F.array_sort(F.collect_list(F.struct("pair_idx", "html")))
-    return rows.groupBy(*key).agg(F.array_join(F.transform(parts, lambda p: p["html"]), "\n").alias("html"), F.count("*").alias("n_pairs"))
+    out = rows.groupBy(*key).agg(F.array_join(F.transform(parts, lambda p: p["html"]), "\n").alias("html"), F.count("*").alias("n_pairs"))
+    if notes is None:
+        return out
+    item = F.concat(F.lit('<li id="note_'), F.col("num").cast("string"), F.lit('">'), T.escaped(F.col("text")), F.lit("</li>"))
+    told = notes.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("num", item.alias("li")))).alias("_notes"))
+    block = F.concat(F.lit('\n<section class="notes"><ol>'), F.array_join(F.transform("_notes", lambda n: n["li"]), ""), F.lit("</ol></section>"))
+    return out.join(told, key, "left").select(*key, F.concat("html", F.coalesce(block, F.lit(""))).alias("html"), "n_pairs")
 
 
 def single_language(html: Column, cls: str) -> Column:
     """A page without the paragraphs of one side."""
-    return F.regexp_replace(html, f'<p class="{cls}">[^<]*</p>', "")
+    return F.regexp_replace(html, f'<(p|h[1-6]) class="{cls}">[^<]*</(?:p|h[1-6])>', "")
 
 
 def html_page(title: Column, body: Column) -> Column:
@@ -69,23 +87,46 @@ def with_missing_anchors(docs: DataFrame, refs: DataFrame) -> DataFrame:
     return docs.join(spans, "doc_id", "left").withColumn("html", F.concat(F.coalesce("spans", F.lit("")), "html")).drop("spans")
 
 
-def navigation(chapters: list[tuple[str, str]]) -> str:
-    """The navigation document of (file, title) pairs."""
-    items = "".join(f'<li><a href="{f}">{t}</a></li>' for f, t in chapters)
-    return f'<?xml version="1.0" encoding="utf-8"?><html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>Contents</title></head><body><nav epub:type="toc"><ol>{items}</ol></nav></body></html>'
+Entry = tuple[str, str, int]  # file, title, level from 1
 
 
-def ncx(title: str, chapters: list[tuple[str, str]]) -> str:
+def tree(entries: list[Entry]) -> list[tuple[str, str, list]]:
+    """Entries with those below them."""
+    top: list = []
+    open_: list[tuple[int, list]] = [(0, top)]
+    for file, title, level in entries:
+        while open_[-1][0] >= level:
+            open_.pop()
+        inner: list = []
+        open_[-1][1].append((file, title, inner))
+        open_.append((level, inner))
+    return top
+
+
+def navigation(entries: list[Entry]) -> str:
+    """The navigation document, with lists within lists."""
+
+    def listed(found: list) -> str:
+        return "<ol>" + "".join(f'<li><a href="{f}">{t}</a>{listed(inner) if inner else ""}</li>' for f, t, inner in found) + "</ol>"
+
+    return f'<?xml version="1.0" encoding="utf-8"?><html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>Contents</title></head><body><nav epub:type="toc">{listed(tree(entries))}</nav></body></html>'
+
+
+def ncx(title: str, entries: list[Entry]) -> str:
     """The same for older readers."""
-    points = "".join(f'<navPoint id="n{i}" playOrder="{i}"><navLabel><text>{t}</text></navLabel><content src="{f}"/></navPoint>' for i, (f, t) in enumerate(chapters, 1))
-    return f'<?xml version="1.0" encoding="utf-8"?><ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head/><docTitle><text>{title}</text></docTitle><navMap>{points}</navMap></ncx>'
+    order = iter(range(1, len(entries) + 1))
+
+    def points(found: list) -> str:
+        return "".join(f'<navPoint id="n{n}" playOrder="{n}"><navLabel><text>{t}</text></navLabel><content src="{f}"/>{points(inner)}</navPoint>' for f, t, inner in found for n in [next(order)])
+
+    return f'<?xml version="1.0" encoding="utf-8"?><ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head/><docTitle><text>{title}</text></docTitle><navMap>{points(tree(entries))}</navMap></ncx>'
 
 
-def epub_bytes(title: str, lang: str, chapters: list[tuple[str, str]]) -> bytes:
-    """O1: an EPUB of (title, body html) chapters."""
-    files = [(f"c{i:04d}.xhtml", t, b) for i, (t, b) in enumerate(chapters)]
-    listed = [(f, t) for f, t, _ in files]
-    items = "".join(f'<item id="c{i}" href="{f}" media-type="application/xhtml+xml"/>' for i, (f, _) in enumerate(listed))
+def epub_bytes(title: str, lang: str, chapters: list[tuple]) -> bytes:
+    """O1: an EPUB of chapters: title, body html and, if not 1, level."""
+    files = [(f"c{i:04d}.xhtml", t, b, level[0] if level else 1) for i, (t, b, *level) in enumerate(chapters)]
+    listed = [(f, t, level) for f, t, _, level in files]
+    items = "".join(f'<item id="c{i}" href="{f}" media-type="application/xhtml+xml"/>' for i, (f, *_) in enumerate(listed))
     refs = "".join(f'<itemref idref="c{i}"/>' for i in range(len(listed)))
     opf = (
         '<?xml version="1.0" encoding="utf-8"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id">'
@@ -99,20 +140,21 @@ def epub_bytes(title: str, lang: str, chapters: list[tuple[str, str]]) -> bytes:
         z.writestr("OEBPS/content.opf", opf)
         z.writestr("OEBPS/nav.xhtml", navigation(listed))
         z.writestr("OEBPS/toc.ncx", ncx(title, listed))
-        for name, t, body in files:
+        for name, t, body, _ in files:
             z.writestr(f"OEBPS/{name}", f'<?xml version="1.0" encoding="utf-8"?><html xmlns="http://www.w3.org/1999/xhtml"><head><title>{t}</title></head><body><h1>{t}</h1>{body}</body></html>')
     return out.getvalue()
 
 
 def epubs(chapters: DataFrame) -> DataFrame:
-    """O1: one EPUB for each book of chapters (book, chapter_ord, title, html), as bytes: book, content. A book is one task's unit."""
+    """O1: one EPUB for each book of chapters (book, chapter_ord, title, html and, if nested, level), as bytes: book, content. A book is one task's unit."""
+    level = F.greatest(F.coalesce("level", F.lit(1)), F.lit(1)) if "level" in chapters.columns else F.lit(1)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chapter_ord")
         book = pdf["book"].iloc[0]
-        return pd.DataFrame({"book": [book], "content": [epub_bytes(book, "en", list(zip(pdf["title"], pdf["html"], strict=True)))]})
+        return pd.DataFrame({"book": [book], "content": [epub_bytes(book, "en", list(zip(pdf["title"], pdf["html"], pdf["level"], strict=True)))]})
 
-    return chapters.select("book", "chapter_ord", T.escaped(F.col("title")).alias("title"), "html").groupBy("book").applyInPandas(run, "book string, content binary")
+    return chapters.select("book", "chapter_ord", T.escaped(F.col("title")).alias("title"), "html", level.alias("level")).groupBy("book").applyInPandas(run, "book string, content binary")
 
 
 def content_key(*parts: Column) -> Column:
