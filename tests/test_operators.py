@@ -1,10 +1,14 @@
 """Sequences, audits, matching and usage on small tables with known results."""
 
 import datetime
+import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from duolith.functions import kernels
 from duolith.functions import text as T
 from duolith.operators import alignment, audit, matching, usage
 from duolith.operators import sequences as S
@@ -157,6 +161,43 @@ def test_increasing_pairs_and_anchors(spark):
     assert rows(alignment.unique_anchors(text("aabc"), text("bca"), "k"), "i", "j") == [(2, 0), (3, 1)]
 
 
+def test_soft_anchors_follow_the_rule(spark):
+    """Read directly: the nearest of the places within three whose lengths agree and that a sign or the sentence curve speaks for, always further on."""
+    dice = random.Random(4)
+    words = ["alpha", "beta", "gamma", "12", "37", "400", "de", "x"]
+    make = lambda k: [(k, i, " ".join(dice.choice(words) for _ in range(dice.randint(3, 12))) + dice.choice([".", ". More here now.", ""])) for i in range(dice.randint(2, 9))]
+    a, b = ([r for k in range(12) for r in make(k)] for _ in range(2))
+    df = lambda rows_: spark.createDataFrame(rows_, "doc_id int, idx int, text string")
+    want = []
+    for k in range(12):
+        src, tgt = ([t for d, _, t in side if d == k] for side in (a, b))
+        size = lambda t: len([w for w in t.split() if re.search("[A-Za-z0-9]", w)])
+        signs = lambda t: {w for w in re.findall("[0-9]{2,}|[A-Za-z]{3,}", t)}
+        curve = lambda t: [max(1, size(s)) for s in re.split("[。！？；!?;]+", t) if s.strip()]
+        low = 0
+        for i, s in enumerate(src if len(src) >= 4 and len(tgt) >= 4 else []):
+            found = []
+            for j, t in enumerate(tgt):
+                off = abs(math.log((size(t) + 1) / (max(1, size(s)) + 1)))
+                if j >= low and abs(i - j) <= 3 and off <= 0.30:
+                    bent, sign = kernels.dtw(curve(s), curve(t)), bool({x.lower() for x in signs(s)} & {x.lower() for x in signs(t)})
+                    if sign or bent <= 0.25:
+                        found.append((off + 0.4 * bent - 0.05 * sign, j))
+            if found:
+                want.append((k, i, min(found)[1]))
+                low = min(found)[1] + 1
+    got = rows(alignment.soft_anchors(df(a), df(b), "doc_id", unit="words", k=1.0), "doc_id", "i", "j")
+    assert sorted(got) == sorted(want) and len(want) > 10
+
+
+def test_section_maps(spark):
+    from duolith.operators import books
+
+    assert books.coalesced([([0], [1]), ([1], [1, 2]), ([2], [])], 4, 5) == [([0, 1], [1, 2]), ([2], []), ([3], []), ([], [0]), ([], [3]), ([], [4])]
+    assert books.one_sided_merged([([0], [0]), ([1], []), ([], [1]), ([2], [2])]) == [([0, 1], [0, 1]), ([2], [2])]
+    assert books.claimed_pairs([[1], [1, 3], []], 5) == [([], [0]), ([0], [1]), ([], [2]), ([1], [3]), ([2], []), ([], [4])]
+
+
 def test_one_side_only(spark):
     one = spark.createDataFrame([(1, 0, "a b"), (2, 0, "c d")], "doc_id int, idx int, text string")
     got = rows(alignment.align(one, one.where("doc_id = 1"), unit="words", k=1.0), "doc_id", "src", "tgt")

@@ -101,8 +101,8 @@ def test_inline_mathematics():
 def test_sinks(spark, tmp_path):
     pairs = spark.createDataFrame([("b", 0, 1, "T & x", "题", None, 1.0), ("b", 1, 0, "one", "", "机", 9.0)], "book string, pair_idx int, level int, src_text string, tgt_text string, mt string, r double")
     html = writers.chapter_html(pairs, ["book"]).first()
-    assert html.n_pairs == 2 and '<p class="src">T &amp; x</p><p class="tgt">题</p>' in html.html and "机" in html.html
-    assert writers.chapter_html(pairs, ["book"], target_first=True).first().html.startswith('<div class="pair"><p class="tgt">题')
+    assert html.n_pairs == 2 and '<h2 class="src">T &amp; x</h2><h2 class="tgt">题</h2>' in html.html and "机" in html.html
+    assert writers.chapter_html(pairs, ["book"], target_first=True).first().html.startswith('<div class="pair"><h2 class="tgt">题')
     text = writers.interleaved(pairs, ["book"])
     assert text.first().value == "# T & x 题\n\none\n\n机"
     writers.write_text(text, str(tmp_path / "out"), ["book"])
