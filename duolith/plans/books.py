@@ -461,9 +461,6 @@ def pair_conflicts(spark, sf_dir):
     return B.structural_conflicts(g).select("doc_id", "pair_idx", "conflict")
 
 
-EVENTS_OF_TEXT = "e AS (SELECT doc_id, idx, CASE WHEN idx % 3 = 2 THEN cast(idx // 6 AS varchar) END AS no, text FROM {0})"
-
-
 @query(f"""WITH {COPY}, x AS (SELECT doc_id, idx, CASE WHEN idx % 3 = 2 THEN idx // 6 END AS no, text FROM paras), y AS (SELECT doc_id, idx, CASE WHEN idx % 3 = 2 THEN idx // 6 END AS no, text FROM copy),
  p AS (SELECT doc_id, no, text FROM (SELECT doc_id, idx, no, coalesce(last_value(CASE WHEN no IS NULL THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS text FROM x) WHERE no IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, no ORDER BY idx) = 1),
  q AS (SELECT doc_id, no, text FROM (SELECT doc_id, idx, no, coalesce(last_value(CASE WHEN no IS NULL THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS text FROM y) WHERE no IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, no ORDER BY idx) = 1)
@@ -695,10 +692,6 @@ def refinements(spark, sf_dir):
     p = paras(spark, sf_dir).select("doc_id", "idx")
     groups = p.groupBy("doc_id", F.floor(F.col("idx") / 4).alias("g")).agg(F.collect_list("idx").alias("src")).drop("g")
     ones = p.where(~((F.col("doc_id") % 3 == 0) & (F.col("idx") == 1))).select("doc_id", F.array("idx").alias("src"))
-    return books_refinement(ones, groups)
-
-
-def books_refinement(ones: DataFrame, groups: DataFrame) -> DataFrame:
     return matching.is_refinement(ones, groups, "doc_id").select("doc_id", F.col("lost").cast("int").alias("lost"), "refines")
 
 
@@ -716,11 +709,9 @@ def contents_titles(spark, sf_dir):
     """Titles from the table of contents by file name."""
     c = chapters(spark, sf_dir)
     o = F.col("chapter_ord").cast("string")
-    out = []
     one = c.select("book", F.col("chapter_ord").alias("ord"), F.concat(F.lit("a/"), F.col("book"), F.lit("-"), o, F.lit(".x")).alias("path"), F.lit("own").alias("title"))
     toc = c.where("chapter_ord % 2 = 0").select(F.concat(F.lit("b/"), F.col("book"), F.lit("-"), o, F.lit(".x")).alias("path"), F.concat(F.lit("from contents "), o).alias("title"))
-    out = matching.toc_titles(one, toc)
-    return out.select("book", "ord", "title")
+    return matching.toc_titles(one, toc).select("book", "ord", "title")
 
 
 @query(f"WITH {CHAPTERS} SELECT book, ord, CASE WHEN ord % 4 = 1 THEN ord - 1 ELSE ord END AS target_ord FROM ch")
@@ -775,9 +766,6 @@ def top_orders(spark, sf_dir):
     return books.top_rows(o, "cents", ["k"], 25)
 
 
-SETS = "list_sort(list_transform({}, lambda x: x))"
-
-
 @query(f"""WITH {COPY}, a AS (SELECT doc_id, idx, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z]{{6,}}'), lambda x: lower(x))) AS s FROM paras), b AS (SELECT doc_id, idx, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z]{{6,}}'), lambda x: lower(x))) AS s FROM copy)
 SELECT doc_id, idx, len(list_intersect(a.s, b.s)) AS n_common, len(a.s) - len(list_intersect(a.s, b.s)) AS n_lost, len(b.s) - len(list_intersect(a.s, b.s)) AS n_new, len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)) AS n_all FROM a JOIN b USING (doc_id, idx)""")
 def signal_sets(spark, sf_dir):
