@@ -339,13 +339,13 @@ def crowds(told: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float
     those of the largest component, which needn't meet each other, and the rest are
     dealt into parts, and a part of the rest meets all other parts.
     """
-    held = told.join(nodes.select("id", "n", "bins", "two"), "id")
+    held = told.join(nodes.select("id", "n"), "id")  # a group's rows come together by key as ids and lengths only
     sums = held.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
     sums = sums.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("c"), F.sum("w").alias("w"))
     held = held.join(sums.select("key", "main", ((F.col("c") > SIDE) | (F.col("w") > WORDS_OF_SIDE)).alias("big")), "key")
-    columns = ("key", "cls", "p", "q", "id", "label", "part", "own", "n", "bins", "two")
+    columns = ("key", "cls", "p", "q", "id", "label", "part", "own", "n")
     zero = F.lit(0)
-    small = held.where("not big").select("key", zero.alias("cls"), zero.alias("p"), zero.alias("q"), "id", "label", zero.alias("part"), F.lit(True).alias("own"), "n", "bins", "two")
+    small = held.where("not big").select("key", zero.alias("cls"), zero.alias("p"), zero.alias("q"), "id", "label", zero.alias("part"), F.lit(True).alias("own"), "n")
 
     wide = math.log(1.01 / similarity) if similarity > 0 else math.inf
     big = held.where("big").withColumn("rest", F.col("label") != F.col("main"))
@@ -363,7 +363,7 @@ def crowds(told: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float
     blocks = small.unionByName(big.select(*columns))
     holds = membership(told.select(F.xxhash64("id").alias("h")).distinct())
     texts = docs.where(holds(F.xxhash64("doc_id"))).groupBy(F.col("doc_id").alias("id"), F.xxhash64("text").alias("_h")).agg(F.first("text").alias("text"))
-    blocks = blocks.join(texts.drop("_h"), "id").select(*columns, "text")
+    blocks = blocks.join(nodes.select("id", "n", "bins", "two"), ["id", "n"]).join(texts.drop("_h"), "id").select(*columns, "bins", "two", "text")
     place = ("key", "cls", "p", "q")
     blocks = blocks.repartition(*place).sortWithinPartitions(*place, "part", "id")
     kind = dict(nodes.dtypes)["id"]
