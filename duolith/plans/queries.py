@@ -576,13 +576,23 @@ def leak_counts(spark, sf_dir):
     return audit.leak_counts(p, "html", {"script": "(?i)<script\\b", "comment": "<!--", "entity": "&[a-z]+;"})
 
 
-@query()
+#: Leaf blocks of the pages: elements that hold text and inline tags only. Their pages have no other kinds of blocks, and no visuals.
+PAGE_BLOCKS = r"""body AS (SELECT page_id, regexp_replace(coalesce(nullif(regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1), ''), html), '(?is)<(?:script|style)\b.*?</(?:script|style)\s*>|<!--.*?-->', ' ', 'g') AS body FROM pages),
+ leaf AS (SELECT page_id, regexp_extract_all(body, '(?i)@LEAF@') AS a FROM body),
+ told AS (SELECT page_id, generate_subscripts(a, 1) AS n, unnest(a) AS m FROM leaf),
+ texts AS (SELECT page_id, n, lower(regexp_extract(m, '^<([a-zA-Z0-9]+)', 1)) AS tag, trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(m, '<[^>]+>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g'), '[\s\p{Z}]+', ' ', 'g')) AS text FROM told),
+ pb AS (SELECT page_id, cast(row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS int) AS pos, tag, CASE tag WHEN 'h1' THEN 'heading' WHEN 'li' THEN 'li' ELSE 'para' END AS type, CASE WHEN tag = 'h1' THEN 1 ELSE 0 END AS level, text FROM texts WHERE text <> '')""".replace("@LEAF@", "|".join(rf"<{t}(?:\s[^>]*)?>(?:[^<]|<(?:/?a|/?b|br)(?:\s[^>]*)?>)*</{t}>" for t in ("p", "li", "h1", "div", "footer")))
+
+
+@query(f"WITH {PAGE_BLOCKS} SELECT * FROM pb")
 def page_blocks(spark, sf_dir):
     """Pages as blocks."""
     return readers.html_blocks(table(spark, sf_dir, "pages"), ["page_id"], "html").select("page_id", "pos", "tag", "type", "level", "text")
 
 
-@query()
+@query(f"""WITH {PAGE_BLOCKS}, t AS (SELECT *, first_value(CASE WHEN type = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS title, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM pb),
+ k AS (SELECT * FROM t WHERE NOT coalesce(n <= 10 AND type = 'para' AND (regexp_matches(text, '(?i)^(?:[0-9]{{1,4}}|[ivxlcdm]{{1,7}})$') OR text = title), false)), c AS (SELECT *, sum((type <> 'heading')::int) OVER (PARTITION BY page_id) AS rest FROM k)
+SELECT page_id AS doc_id, pos, type, 0 AS sec, CASE WHEN type <> 'heading' THEN sum((type <> 'heading')::int) OVER (PARTITION BY page_id ORDER BY pos) - 1 END AS para_idx FROM c WHERE rest > 0""")
 def page_sections(spark, sf_dir):
     """T7, T8, T9, T20 over parsed pages."""
     b = readers.html_blocks(table(spark, sf_dir, "pages").withColumnRenamed("page_id", "doc_id"), ["doc_id"], "html")
