@@ -28,8 +28,8 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PLAIN_BPE = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
 PLAIN_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 PLAIN_TOKEN = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
-#: Pieces that a part should hold; equal lengths are dealt into parts for ranking.
-PIECES_OF_A_PART = 50_000
+#: Pieces of one length that a part should hold; a common length is dealt into parts for ranking.
+PIECES_OF_A_PART = 500
 
 
 class FreeRoom:
@@ -162,8 +162,9 @@ def pack(docs: DataFrame, tokenizer_path: str, *, window: int = 2048, end_id: in
     further columns of the input are not read, whatever their names.
     """
     pieces = staged(pieces_of(docs, tokenizer_path, window, end_id), "pieces")
-    parts = max(1, -(-pieces.count() // PIECES_OF_A_PART))
-    pieces = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)))
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
+    parts = F.array(*[F.lit(max(1, -(-counts.get(n, 0) // PIECES_OF_A_PART))) for n in range(window + 1)])
+    pieces = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "start"), F.get(parts, F.col("length").cast("int"))))
     held = pieces.groupBy("length", "_part").agg(F.count("*").alias("_n"))
     before = held.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
     ranked = (
@@ -171,7 +172,6 @@ def pack(docs: DataFrame, tokenizer_path: str, *, window: int = 2048, end_id: in
         .join(before.select("length", "_part", F.coalesce("_before", F.lit(0)).alias("_before")), ["length", "_part"])
         .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("_rank") + F.col("_before")).alias("_rank"))
     )
-    counts = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `window` rows
     plan = plan_windows(counts, window)
     plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))] if len(plan) else plan
 

@@ -123,7 +123,7 @@ def test_plan_equals_best_fit_decreasing(case):
 def test_pack(spark, monkeypatch):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(packing, "PIECES_OF_A_PART", 40)
+    monkeypatch.setattr(packing, "PIECES_OF_A_PART", 20)
     texts = [*ODD, None, "word " * 5000, ODD[2]]
     clashing = rows_of(spark, texts).selectExpr("*", "'y' AS length", "0 AS start", "1 AS sequence_id", "2 AS _part")
     rows = packing.pack(clashing, P.path("byte_bpe_50k.json"), window=64).collect()
