@@ -8,9 +8,11 @@ the smaller their edit distance. Documents that agree in a band are candidates;
 a pair is a link if an alignment within a band of diagonals shows that the edits
 are at most a fifth of the longer text. Classes are the connected components.
 
-Equal word sequences are one node from the start. In a band's group each node is
-compared with the least one (in a group above MOST nodes also with the least of
-those that agree in the band's four least k-mers), and components are contracted.
+Equal word sequences are one node from the start. Each node is compared with the
+least node of all its groups first, and components are contracted. Where a group
+still holds several, each node is compared with the group's least one if that is in
+another component (in a group above MOST nodes also with the least of those that
+agree in the band's four least k-mers), and components are contracted again.
 Groups that still hold several components then meet in blocks, each pair in the
 first band that it has in common: a small group is one block, a large one is cut
 by classes of length into salted parts. Lengths and word histograms rule pairs
@@ -278,6 +280,24 @@ def ordered_pairs(df: DataFrame, a: Column, b: Column) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a != b").distinct()
 
 
+def several(told: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows (keys, id, label, ...) of groups that hold several labels."""
+    open_ = told.groupBy(*keys).agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low != _high").select(*keys)
+    return told.join(open_, keys)
+
+
+def from_least(told: DataFrame, keys: list[str]) -> DataFrame:
+    """id, least of the nodes (keys, id, label, first) that have another label than their group's least one and weren't compared with it."""
+    least = told.groupBy(*keys).agg(F.min("id").alias("_least"), F.min_by("label", "id").alias("_label"))
+    return told.join(least, keys).where("label != _label and _least != first").select("id", F.col("_least").alias("least"))
+
+
+def of_labels(links: DataFrame, label: DataFrame) -> DataFrame:
+    """Links (a, b) of nodes as links of their labels (id, label)."""
+    name = lambda c: label.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    return ordered_pairs(links.join(name("a"), "a").join(name("b"), "b"), F.col("a_label"), F.col("b_label"))
+
+
 class Block:
     """Nodes that meet: part p with part q. Rows as crowds() makes them, after key, cls, p, q."""
 
@@ -404,21 +424,24 @@ def near_classes(docs: DataFrame, *, similarity: float = SIMILARITY, most: int =
     nodes = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n", "two", "four", "bins")])
     nodes = staged(nodes, "nodes")
     entries = nodes.select("id", F.explode(F.arrays_zip("two", "four")).alias("k")).select("id", "k.*").distinct()
-    sized = entries.join(grouped(entries, "two").select("two", "size", "least"), "two")
-    groups = sized.select("id", F.col("two").alias("key"), "size", "least", (F.col("size") > most).alias("many"))
+    groups = entries.join(grouped(entries, "two").select("two", "size", "least"), "two").withColumnRenamed("two", "key")
     groups = staged(groups, "groups")
-    crowd = sized.where(F.col("size") > most).select("id", "two", "four")
-    parts = crowd.groupBy("two", "four").agg(F.min("id").alias("least"))
-    parts = crowd.join(parts, ["two", "four"]).select("id", "least")
-
-    first = staged(ordered_pairs(groups.select("id", "least").unionByName(parts), F.col("id"), F.col("least")), "stars")
-    links = staged(verified(first, nodes, docs, similarity), "links")
-    label = components(links)
-
-    told = groups.where("size > 2").select("key", "id").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    open_ = told.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    told = staged(told.join(open_, "key").select("key", "id", "label"), "told")
-    label = components(staged(links.unionByName(crowds(told, nodes, docs, similarity)), "links"))
+    alone = groups.groupBy("id").agg(F.min("least").alias("first"))
+    first = staged(ordered_pairs(alone, F.col("id"), F.col("first")), "stars")
+    label = components(staged(verified(first, nodes, docs, similarity), "links"))
+    label = staged(alone.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")), "first")
+
+    told = staged(several(groups.join(label, "id"), ["key"]), "open")
+    stars = from_least(told, ["key"]).unionByName(from_least(told.where(F.col("size") > most), ["key", "four"]))
+    stars = staged(ordered_pairs(stars, F.col("id"), F.col("least")), "stars")
+    links = staged(of_labels(verified(stars, nodes, docs, similarity), label), "links")
+    root = components(links).toDF("label", "root")
+
+    told = told.where("size > 2").join(root, "label", "left").select("key", "id", F.coalesce("root", "label").alias("label"))
+    told = staged(several(told, ["key"]).select("key", "id", "label"), "told")
+    links = links.unionByName(of_labels(crowds(told, nodes, docs, similarity), label))
+    root = components(staged(links, "links")).toDF("label", "root")
+    label = label.join(root, "label", "left").select("id", F.coalesce("root", "label").alias("label"))
 
     classes = nodes.select("d1", "d2", "id").join(label, "id", "left").select("d1", "d2", F.coalesce("label", "id").alias("class_id"))
     out = sketches.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"], "left")

@@ -490,6 +490,18 @@ def test_crowded_groups_lose_no_pair(spark):
     assert got == {i: i if i < 100 else (i - 1000) % 100 for i in text}
 
 
+def test_near_copies_are_compared_once(spark, monkeypatch):
+    """Copies that agree in many bands, under many least nodes, cost a comparison each, not one for each band."""
+    dice = random.Random(12)
+    base = [f"w{dice.randrange(5000)}" for _ in range(200)]
+    rows = [(i, " ".join(f"x{dice.randrange(5000)}" if dice.random() < 0.04 else w for w in base)) for i in range(80)]
+    sizes, verified = [], omh.verified
+    monkeypatch.setattr(omh, "verified", lambda pairs, *a: sizes.append(pairs.count()) or verified(pairs, *a))
+    got = {r.doc_id: r.class_id for r in omh.near_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == dict.fromkeys(range(80), 0)
+    assert sum(sizes) < 160
+
+
 def test_one_of_each_stays(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, "other words here now", "z"), (3, "other words here now", "z"), (None, "q", "q")], "doc_id bigint, text string, class_id string")
     assert sorted((r.doc_id or 0, r.class_id) for r in omh.keep_one(docs).collect()) == [(0, "q"), (1, "x"), (3, "z")]
