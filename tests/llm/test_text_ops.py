@@ -362,6 +362,17 @@ def test_bit_parallel_distance(spark, edits):
         assert r.w == (distance(r.a, r.b) <= edits), r
 
 
+def test_one_edit_takes_no_step_for_each_character(spark):
+    """Long lines are compared by halving, without a step for each character."""
+    from pyspark.sql import functions as F
+
+    a = "né" * 20_000
+    rows = [(a, a[:k] + x + a[k + cut :]) for k in (0, 1, 20_001, 39_999, 40_000) for x in ("", "z") for cut in (0, 1)] + [(a, "z" + a[:-1] + "y")]
+    df = spark.createDataFrame(rows, "a string, b string").select(linededup.within(F.col("a"), F.col("b"), 1).alias("w"))
+    assert [r.w for r in df.collect()] == [True] * (len(rows) - 1) + [False]
+    assert "arrays_zip" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def mutated(dice, s, n):
     s = list(s)
     for _ in range(n):
