@@ -147,20 +147,21 @@ def section_units(links: DataFrame, src: DataFrame, tgt: DataFrame, key: str, *,
 # ---------------------------------------------------------------- gates
 
 
-def section_gates(pairs: DataFrame, key: str, *, unit: str = "han", low: float = 1.0, high: float = 3.0) -> DataFrame:
+def section_gates(pairs: DataFrame, key: str, *, unit: str = "han", low: float = 1.0, high: float = 3.0, plain: Column | None = None) -> DataFrame:
     """What speaks for a second opinion on a section's pairs (key, src, tgt, src_text, tgt_text).
 
     slack: targets more than sources; prose_bad: pairs of running text whose length
     ratio is out of range; narrow: so plain that the alignment decides alone; why:
-    signs that its structure is wrong.
+    signs that its structure is wrong. plain says what running text is; without it,
+    neither side may look like mathematics or code.
     """
     s, t = F.size("src"), F.size("tgt")
     a, b = (F.coalesce(c, F.lit("")) for c in ("src_text", "tgt_text"))
     mathy = lambda x: x.rlike(T.MATHY)
     codeish = lambda x: T.is_codeish(x) if unit == "han" else x.rlike(T.CODEY)
     mass = T.han_chars(b) if unit == "han" else T.en_words(b)
-    prose = (s > 0) & (t > 0) & ~mathy(a) & ~mathy(b) & ~(a.rlike(T.CODEY) if unit != "han" else T.is_codeish(a)) & ~codeish(b)
-    bad = prose & ~(mass / F.greatest(F.lit(1), T.en_words(a))).between(low, high)
+    plain = ~mathy(a) & ~mathy(b) & ~(a.rlike(T.CODEY) if unit != "han" else T.is_codeish(a)) & ~codeish(b) if plain is None else plain
+    bad = (s > 0) & (t > 0) & plain & ~(mass / F.greatest(F.lit(1), T.en_words(a))).between(low, high)
     count = lambda c: F.count_if(c)
     out = pairs.groupBy(key).agg(
         F.count("*").alias("n_pairs"), F.sum(s).alias("n_src"), F.sum(t).alias("n_tgt"), count((s > 0) & (t == 0)).alias("only_src"), count((t > 0) & (s == 0)).alias("only_tgt"),
