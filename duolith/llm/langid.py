@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duolith.llm.common import Rows, bounded, crc_of_id, map_texts
+from duolith.llm.common import Rows, crc_of_id, map_batches, map_texts
 
 BITS, WIDTH, GRAMS = 16, 16, (2, 3, 4, 5)
 BUCKETS = 1 << BITS
@@ -167,7 +167,7 @@ def fit(docs: DataFrame) -> Model:
         kinds = [pa.list_(pa.string()), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(made, kinds, strict=True)], names=["languages", "logits", "bias", "heat", "least"])
 
-    told = bounded(training_sample(docs).repartition(1)).mapInArrow(run, "languages array<string>, logits binary, bias binary, heat double, least double").collect()
+    told = map_batches(training_sample(docs).repartition(1), run, "languages array<string>, logits binary, bias binary, heat double, least double").collect()
     if not told or not told[0]["languages"]:
         return train([], [])
     r = told[0]
@@ -211,4 +211,4 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
             pairs = [predict(m, t or "") for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array([lang != UNKNOWN and p >= m.least for lang, p in pairs], pa.bool_()))
 
-    return bounded(docs).mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duolith.llm.common import bounded, map_texts, membership, staged
+from duolith.llm.common import map_batches, map_texts, membership, staged
 
 WORDS_OF_KMER, BANDS, SIMILARITY = 5, 16, 0.8
 #: Texts of up to so many words have bands of 2-mers too: an edit spoils a large part of their 5-mers.
@@ -229,7 +229,7 @@ def could_be(pairs: DataFrame, similarity: float) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     kind = dict(pairs.dtypes)["a"]
-    return bounded(pairs).mapInArrow(run, f"a {kind}, b {kind}")
+    return map_batches(pairs, run, f"a {kind}, b {kind}")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
@@ -251,7 +251,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: fl
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     kind = dict(pairs.dtypes)["a"]
-    return bounded(full).mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return map_batches(full, run, f"a {kind}, b {kind}").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -407,7 +407,7 @@ def crowds(told: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
-    return bounded(blocks).mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return map_batches(blocks, run, f"a {kind}, b {kind}").distinct()
 
 
 def near_classes(docs: DataFrame, *, similarity: float = SIMILARITY, most: int = MOST) -> DataFrame:

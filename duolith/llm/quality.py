@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duolith.llm.common import Rows, bounded, crc_of_id, map_texts
+from duolith.llm.common import Rows, crc_of_id, map_batches, map_texts
 
 BITS = 20
 #: Labelled rows that training sees at most, of each label.
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
         rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
         yield pa.RecordBatch.from_arrays([pa.array([train([t for _, t, _ in rows], [y for *_, y in rows]).tobytes()], pa.binary())], names=["weights"])
 
-    told = bounded(labelled_sample(docs, labels).repartition(1)).mapInArrow(run, "weights binary").collect()
+    told = map_batches(labelled_sample(docs, labels).repartition(1), run, "weights binary").collect()
     return np.frombuffer(told[0][0], np.float32) if told else train([], [])
 
 
@@ -169,4 +169,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, train_on: DataFrame) -> DataFr
             keep = [goodness(w, t or "") >= THRESHOLD for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return bounded(docs).mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

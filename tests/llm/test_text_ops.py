@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from duolith.llm import chat, common, html_text, langid, linededup, omh, quality
 
@@ -513,6 +514,14 @@ def test_near_copies_are_compared_once(spark, monkeypatch):
     assert sum(sizes) < 160
 
 
+def test_a_filter_is_not_spelt_out_in_plans(spark):
+    ids = spark.range(30_000).select("id")
+    test = common.membership(ids.where("id % 3 = 0").select(F.xxhash64("id").alias("h")))(F.xxhash64("id"))
+    held, rest = ids.where(test), ids.where(~test)
+    assert held.where("id % 3 = 0").count() == 10_000 and held.count() + rest.count() == 30_000 and held.count() < 20_000
+    assert len(held.unionByName(rest)._jdf.queryExecution().toString()) < 20_000
+
+
 def test_one_of_each_stays(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, "other words here now", "z"), (3, "other words here now", "z"), (None, "q", "q")], "doc_id bigint, text string, class_id string")
     assert sorted((r.doc_id or 0, r.class_id) for r in omh.keep_one(docs).collect()) == [(0, "q"), (1, "x"), (3, "z")]
