@@ -9,14 +9,17 @@ from duolith.functions import text as T
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, text of every line that isn't blank; pos counts all lines."""
+    """doc_id, pos, text of every line that isn't blank (spaces of Unicode only, as SQL's trim has it); pos counts all lines."""
     cut = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-    return cut.where(F.trim("text") != "")
+    return cut.where(F.col("text").rlike("[^\\p{Zs}]"))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, idx (from 0), text: the lines that aren't blank, counted anew."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
+    """doc_id, idx (from 0), text: the lines that aren't blank, counted anew.
+
+    Rows with one doc_id, or without, are one document; its lines of one place stand by text.
+    """
+    w = Window.partitionBy("doc_id").orderBy("pos", "text")
     return lines(docs).select("doc_id", (F.row_number().over(w) - 1).alias("idx"), "text")
 
 
