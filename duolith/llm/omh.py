@@ -215,7 +215,8 @@ def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
 
 
 def could_be(pairs: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b, a_n, b_n, a_bins, b_bins) whose lengths and word histograms don't rule out a link."""
+    """Pairs (a, b, a_n, b_n, a_bins, b_bins, ...) whose lengths and word histograms don't rule out a link, without these four."""
+    kinds = {c: kind for c, kind in pairs.dtypes if c not in ("a_n", "b_n", "a_bins", "b_bins")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,50 +227,58 @@ def could_be(pairs: DataFrame, similarity: float) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("a_bins", "b_bins"))
             most = (n * (1 - similarity) + 1e-9).astype(np.int64)
             keep = (n - low <= most) & (np.abs(x - y).sum(1) <= 2 * most)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(list(kinds)).filter(pa.array(keep))
 
-    kind = dict(pairs.dtypes)["a"]
-    return map_batches(pairs, run, f"a {kind}, b {kind}")
+    return map_batches(pairs, run, ", ".join(f"{c} {kind}" for c, kind in kinds.items()))
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs of ids (a, b) that are links."""
+    """The pairs of ids (a, b) that are links, with all columns."""
+    columns = pairs.columns
     side = lambda s: nodes.select(F.col("id").alias(s), F.col("n").alias(f"{s}_n"), F.col("bins").alias(f"{s}_bins"))
     left = staged(could_be(pairs.join(side("a"), "a").join(side("b"), "b"), similarity), "pairs")
     holds = membership(left.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b"))).alias("h")))
     texts = docs.where(holds(F.xxhash64("doc_id"))).select("doc_id", "text")
-    full = left.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    full = left.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select(*columns, "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[str, np.ndarray] = {}
             words = lambda t: seen[t] if t in seen else seen.setdefault(t, word_hashes(plain(t)))  # noqa: B023, E731
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 x, y = words(x or ""), words(y or "")
                 keep.append(edits_within(x, y, most_edits(max(len(x), len(y)), similarity)))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(columns).filter(pa.array(keep, pa.bool_()))
 
-    kind = dict(pairs.dtypes)["a"]
-    return map_batches(full, run, f"a {kind}, b {kind}").distinct()
+    return map_batches(full, run, ", ".join(f"{c} {kind}" for c, kind in pairs.dtypes)).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id, label (the least id of its component) of every id in links (a, b).
+    """id, label (the least id of its component) of every id in links (a, b) that is linked to another.
 
-    Labels spread to neighbours and jump to their labels' labels, each round written
-    to the shared folder, until none changes.
+    Each id hooks onto its least neighbour, and hooks are followed to their ends. Links
+    become links of these ends, and those within one end go, so a link is joined once a
+    round for as long as it leads elsewhere. Two rounds halve the ids that are left.
     """
-    both = staged(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = staged(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("id"), "label"), "labels")
+    edges, labels = staged(ordered_pairs(links, F.col("a"), F.col("b")), "edges"), None
     while True:
-        spread = both.join(labels.toDF("b", "label"), "b").groupBy("a").agg(F.min("label").alias("seen")).toDF("id", "seen")
-        new = labels.join(spread, "id").select("id", F.least("label", "seen").alias("label"), F.col("label").alias("_old"))
-        root = new.select(F.col("id").alias("label"), F.col("label").alias("_root"))
-        new = staged(new.join(root, "label", "left").select("id", F.coalesce("_root", "label").alias("label"), "_old"), "labels")
-        if new.where("label != _old").isEmpty():
-            return new.select("id", "label")
-        labels = new.select("id", "label")
+        ends = edges.select("a", "b").unionAll(edges.select("b", "a"))
+        ends = staged(ends.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label")), "labels")
+        while True:
+            new = staged(ends.join(ends.toDF("label", "_next"), "label").select("id", F.col("_next").alias("label"), F.col("label").alias("_old")), "labels")
+            ends, still = new.select("id", "label"), new.where("label != _old").isEmpty()
+            if still:
+                break
+        labels = ends if labels is None else staged(relabelled(labels, ends), "labels")
+        edges = staged(of_labels(edges, ends), "edges")
+        if edges.isEmpty():
+            return labels
+
+
+def relabelled(label: DataFrame, roots: DataFrame) -> DataFrame:
+    """label (id, label) with the labels of its labels in roots (id, label), where they have one."""
+    return label.join(roots.toDF("label", "_root"), "label", "left").select(*[F.coalesce("_root", "label").alias(c) if c == "label" else c for c in label.columns])
 
 
 def grouped(entries: DataFrame, key: str) -> DataFrame:
@@ -287,9 +296,9 @@ def several(told: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def from_least(told: DataFrame, keys: list[str]) -> DataFrame:
-    """id, least of the nodes (keys, id, label, first) that have another label than their group's least one and weren't compared with it."""
+    """Pairs (a, b) of a group's least node and its nodes of another label (keys, id, label, first) that weren't compared with it, and their labels (low, high)."""
     least = told.groupBy(*keys).agg(F.min("id").alias("_least"), F.min_by("label", "id").alias("_label"))
-    return told.join(least, keys).where("label != _label and _least != first").select("id", F.col("_least").alias("least"))
+    return told.join(least, keys).where("label != _label and _least != first").select(*[f(x, y).alias(c) for x, y, names in (("id", "_least", "ab"), ("label", "_label", ("low", "high"))) for f, c in zip((F.least, F.greatest), names, strict=True)])
 
 
 def of_labels(links: DataFrame, label: DataFrame) -> DataFrame:
@@ -333,7 +342,7 @@ class Block:
         return self.words[i]
 
     def links(self) -> Iterator[tuple]:
-        """Links of pairs that have no earlier band in common: those meet there. What is linked here on the way isn't compared again."""
+        """Links, as labels, of pairs that have no earlier band in common: those meet there. What is linked here on the way isn't compared again."""
         root = list(range(int(self.label.max()) + 1))
 
         def find(a: int) -> int:
@@ -348,11 +357,11 @@ class Block:
             x, y = self.words_of(i), self.words_of(j)
             if edits_within(x, y, most_edits(max(len(x), len(y)), self.similarity)):
                 root[a] = b
-                yield min(self.ids[i], self.ids[j]), max(self.ids[i], self.ids[j])
+                yield self.labels[i], self.labels[j]
 
 
 def crowds(told: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that join all nodes of a group (told: key, id, label) that are linked to one of another label.
+    """Links of labels (a, b) that join all nodes of a group (told: key, id, label) that are linked to one of another label.
 
     A group within SIDE nodes and WORDS_OF_SIDE words is one block. Nodes of a larger
     one meet by class of length, each class with itself and with the next shorter one;
@@ -407,7 +416,7 @@ def crowds(told: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
-    return map_batches(blocks, run, f"a {kind}, b {kind}").distinct()
+    return map_batches(blocks, run, f"a {kind}, b {kind}")
 
 
 def near_classes(docs: DataFrame, *, similarity: float = SIMILARITY, most: int = MOST) -> DataFrame:
@@ -428,20 +437,17 @@ def near_classes(docs: DataFrame, *, similarity: float = SIMILARITY, most: int =
     groups = staged(groups, "groups")
     alone = groups.groupBy("id").agg(F.min("least").alias("first"))
     first = staged(ordered_pairs(alone, F.col("id"), F.col("first")), "stars")
-    label = components(staged(verified(first, nodes, docs, similarity), "links"))
+    label = components(verified(first, nodes, docs, similarity))
     label = staged(alone.join(label, "id", "left").withColumn("label", F.coalesce("label", "id")), "first")
 
     told = staged(several(groups.join(label, "id"), ["key"]), "open")
     stars = from_least(told, ["key"]).unionByName(from_least(told.where(F.col("size") > most), ["key", "four"]))
-    stars = staged(ordered_pairs(stars, F.col("id"), F.col("least")), "stars")
-    links = staged(of_labels(verified(stars, nodes, docs, similarity), label), "links")
-    root = components(links).toDF("label", "root")
+    links = verified(staged(stars.distinct(), "stars"), nodes, docs, similarity)
+    root = components(links.select(F.col("low").alias("a"), F.col("high").alias("b")))
 
-    told = told.where("size > 2").join(root, "label", "left").select("key", "id", F.coalesce("root", "label").alias("label"))
+    told = relabelled(told.where("size > 2").select("key", "id", "label"), root)
     told = staged(several(told, ["key"]).select("key", "id", "label"), "told")
-    links = links.unionByName(of_labels(crowds(told, nodes, docs, similarity), label))
-    root = components(staged(links, "links")).toDF("label", "root")
-    label = label.join(root, "label", "left").select("id", F.coalesce("root", "label").alias("label"))
+    label = relabelled(relabelled(label.select("id", "label"), root), components(crowds(told, nodes, docs, similarity)))
 
     classes = nodes.select("d1", "d2", "id").join(label, "id", "left").select("d1", "d2", F.coalesce("label", "id").alias("class_id"))
     out = sketches.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"], "left")

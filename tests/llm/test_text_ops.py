@@ -514,6 +514,51 @@ def test_near_copies_are_compared_once(spark, monkeypatch):
     assert sum(sizes) < 160
 
 
+def rows_of_joins(spark, run):
+    """What run() gives, and the rows that the joins of its jobs made."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def ids():
+        bus.waitUntilEmpty()
+        told = store.executionsList()
+        return {told.apply(i).executionId() for i in range(told.size())}
+
+    before, out, rows = ids(), run(), 0
+    for e in ids() - before:
+        values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (node.metrics().apply(i) for i in range(node.metrics().size()) if "Join" in node.name()):
+                told = values.get(m.accumulatorId())
+                rows += int(told.get().replace(",", "")) if m.name() == "number of output rows" and told.isDefined() else 0
+    return out, rows
+
+
+def test_components(spark):
+    """Chains, hubs with high and low ids and random links, against union-find."""
+    dice = random.Random(3)
+    links = [(i, i + 1) for i in range(40)] + [(199, i) for i in range(100, 140)] + [(200, i) for i in range(201, 240)]
+    links += [tuple(300 + dice.randrange(200) for _ in "ab") for _ in range(150)]
+    order = dice.sample(range(500, 560), 60)
+    links += zip(order, order[1:], strict=False)
+    root = {i: i for pair in links for i in pair}
+    for a, b in links:
+        low, high = sorted((root[a], root[b]))
+        root = {i: low if r == high else r for i, r in root.items()}
+    linked = {i for a, b in links if a != b for i in (a, b)}
+    got = omh.components(spark.createDataFrame(links + links[:9], "a bigint, b bigint")).collect()
+    assert len(got) == len(linked) and {r.id: r.label for r in got} == {i: root[i] for i in linked}
+    assert omh.components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_links_of_a_crowd_are_joined_once(spark):
+    """Each of 500 ids is linked to the least one and to five others: all links go in the first round."""
+    dice = random.Random(5)
+    links = {(0, i) for i in range(1, 500)} | {tuple(sorted(dice.sample(range(500), 2))) for _ in range(2500)}
+    links = spark.createDataFrame(sorted(links), "a bigint, b bigint")
+    got, rows = rows_of_joins(spark, lambda: omh.components(links).collect())
+    assert {r.label for r in got} == {0} and 0 < rows <= 2 * links.count()
+
+
 def test_a_filter_is_not_spelt_out_in_plans(spark):
     ids = spark.range(30_000).select("id")
     test = common.membership(ids.where("id % 3 = 0").select(F.xxhash64("id").alias("h")))(F.xxhash64("id"))
