@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -567,6 +568,15 @@ def test_a_filter_is_not_spelt_out_in_plans(spark):
     assert len(held.unionByName(rest)._jdf.queryExecution().toString()) < 20_000
 
 
+def test_staged_files_have_no_checksum_files(spark):
+    # For each, Hadoop's local file system would start a process, which has the pages of the whole JVM while it starts.
+    rows = spark.range(1000).repartition(3)
+    told = common.staged(rows, "plain")
+    folder = Path(told.inputFiles()[0].removeprefix("file://")).parent
+    assert sorted(p.suffix for p in folder.iterdir()) == [".parquet"] * 3
+    assert sorted(r["id"] for r in told.collect()) == list(range(1000))
+
+
 def test_one_of_each_stays(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, "other words here now", "z"), (3, "other words here now", "z"), (None, "q", "q")], "doc_id bigint, text string, class_id string")
     assert sorted((r.doc_id or 0, r.class_id) for r in omh.keep_one(docs).collect()) == [(0, "q"), (1, "x"), (3, "z")]
